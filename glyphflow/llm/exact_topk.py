@@ -170,7 +170,10 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     blocks = settled(dealt.mapInArrow(_packer(scale, 0, BLOCK_ROWS), _PACKED))
     asked = rows.where(F.col("id") % query_modulus == 0)
     groups = settled(asked.coalesce(max(1, shards)).mapInArrow(_packer(scale, 1, GROUP_ROWS), _PACKED))
-    past = groups.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks.rdd.getNumPartitions() - 1).cast("long"))))
+    # However many partitions the blocks came in, neighbours share a shard of about shard_rows rows.
+    parts = max(1, blocks.rdd.getNumPartitions())
+    blocks = blocks.withColumn("shard", F.floor(F.col("shard") * min(shards, parts) / parts))
+    past = groups.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(shards, parts) - 1).cast("long"))))
     met = blocks.unionByName(past).repartition(F.col("shard")).sortWithinPartitions("shard", "kind", "seq")
     found = met.mapInArrow(_searcher(k), _FOUND)
     ranked = Window.partitionBy("query_seq", "query_row").orderBy(F.col("score").desc(), "vec_id")
