@@ -6,9 +6,14 @@ from pyspark.sql import functions as F
 
 from glyphflow.plans.catalog import Query, table
 
+from . import language_id, quality, toxicity
 from .exact_dedup import exact_groups
 from .exact_topk import top_k
 from .line_dedup import dedup_lines
+from .mixing import mix
+from .packing import pack
+from .simhash import near_groups
+from .span_dedup import remove_repeats
 
 WHITE_SQL = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,8 +64,46 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY doc_id
 """
 
+
+
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents")).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op4_simhash(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark, sf_dir):
+    return language_id.predict_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_substring_dedup(spark, sf_dir):
+    cut = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_sentences", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), "removed")
+
+
+def op8_quality(spark, sf_dir):
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "tokens", "block", "place")
+
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": Query(op1_exact_topk, OP1_SQL),
+    "op2_toxicity": Query(op2_toxicity),
+    "op3_packing": Query(op3_packing),
+    "op4_simhash": Query(op4_simhash),
+    "op5_language_id": Query(op5_language_id),
+    "op6_substring_dedup": Query(op6_substring_dedup),
     "op7_exact_dedup": Query(op7_exact_dedup, OP7_SQL),
+    "op8_quality": Query(op8_quality),
+    "op9_mixing": Query(op9_mixing),
     "op10_line_dedup": Query(op10_line_dedup, OP10_SQL),
 }
