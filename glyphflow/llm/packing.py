@@ -1,13 +1,14 @@
 """Best-fit packing of documents into sequences by linear grouping.
 
 Pieces are dealt evenly into shards of at most ``SHARD_PIECES`` rows, each packed by one task. Within a shard the large
-lengths are sorted and cut into groups of equal cardinality, and each is rounded up to its group's largest. With few
-sizes left, column generation finds configurations (how many of each size a sequence holds); their whole multiples are
-filled with actual pieces, and the room that rounding left goes, best fit first, to the remaining and small pieces.
+lengths are sorted and cut into groups of equal cardinality, and each is rounded up to its group's largest. Over the few
+sizes left, configurations (which sizes a sequence holds) are searched for the fullest, each used as often as it can be.
+Their places are filled with actual pieces, and the room that rounding left goes, best fit first, to the small pieces.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import os
 import zlib
@@ -22,11 +23,9 @@ from .common import settled, slices
 
 CAPACITY, END_ID = 1024, 2
 SHARD_PIECES = 1 << 16
-GROUPS = 96
+GROUPS = 512
 #: Lengths of at most this part of the capacity count as small.
-SMALL_PART = 8
-#: Steps of column generation; any step's configurations are valid, later ones are better.
-STEPS = 600
+SMALL_PART = 4
 
 
 def default_tokenizer() -> str:
@@ -36,6 +35,57 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class Encoder:
+    """Ids as the vocabulary file's own library gives them.
+
+    A byte-level vocabulary whose ids follow the order of its merges is read into the faster merging library, which
+    then gives the same ids; any other file is left to its own library.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.own = Tokenizer.from_file(path)
+        self.own.encode_special_tokens = True
+        self.fast = _merged_by_rank(json.loads(self.own.to_str()))
+
+    def __call__(self, texts: list[str]) -> list[list[int]]:
+        if self.fast is not None:
+            return [self.fast.encode_ordinary(t) for t in texts]
+        return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+#: Fixed value: the pattern by which byte-level vocabularies part a text before merging.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_letters() -> dict[str, int]:
+    """The letters by which byte-level vocabulary files write bytes: printable ones as themselves, others from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in plain]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def _merged_by_rank(spec: dict):
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    if model.get("type") != "BPE" or spec.get("normalizer") or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or not before.get("use_regex"):
+        return None
+    if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens", [])}
+    letters = _byte_letters()
+    try:
+        ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
+        merged = [ranks[bytes(letters[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]
+    except KeyError:
+        return None
+    if merged != sorted(merged) or len(merged) + 256 != len(ranks):
+        return None
+    import tiktoken
+
+    return tiktoken.Encoding("read from file", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+
 def cut_points(total: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces: all are full but the first, which may be shorter."""
     first = total % capacity or capacity
@@ -45,15 +95,12 @@ def cut_points(total: int, capacity: int) -> list[tuple[int, int]]:
 def _tokenise(path: str | None, capacity: int, end_id: int, keep_ids: bool):
     def run(batches):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path or default_tokenizer())
-        tokenizer.encode_special_tokens = True
+        encode = Encoder(path or default_tokenizer())
         for part in slices(batches):
             rows = []
             texts = [t or "" for t in part.column(1).to_pylist()]
-            for doc_id, found in zip(part.column(0).to_pylist(), tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                ids = np.array([*found.ids, end_id], "<u4")
+            for doc_id, found in zip(part.column(0).to_pylist(), encode(texts), strict=True):
+                ids = np.array([*found, end_id], "<u4")
                 for piece, (start, length) in enumerate(cut_points(len(ids), capacity)):
                     own = ids[start : start + length].tobytes()
                     rows.append((doc_id, piece, start, length, zlib.crc32(own), own if keep_ids else None))
@@ -81,61 +128,54 @@ def group_sizes(lengths: np.ndarray, groups: int) -> tuple[np.ndarray, list[np.n
     return np.array(sizes, np.int64), members
 
 
-def best_configuration(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
-    """The most valuable multiset of sizes that fits."""
-    value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-    rising = np.argsort(sizes, kind="stable")
-    falls, worth = sizes[rising], values[rising]
-    reach = np.searchsorted(falls, np.arange(capacity + 1), side="right")
-    for room in range(1, capacity + 1):
-        value[room] = value[room - 1]
-        if n := reach[room]:
-            got = worth[:n] + value[room - falls[:n]]
-            at = int(got.argmax())
-            if got[at] > value[room] + 1e-12:
-                value[room], choice[room] = got[at], rising[at]
-    counts, room = np.zeros(len(sizes), np.int64), capacity
-    while room > 0:
-        if choice[room] < 0:
-            room -= 1
-        else:
-            counts[choice[room]] += 1
-            room -= int(sizes[choice[room]])
-    return float(value[capacity]), counts
-
-
-def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = STEPS) -> list[tuple[np.ndarray, int]]:
-    """Configurations and how often each is used, whole numbers within the demand; some demand may be left."""
-    k = len(sizes)
-    columns = np.diag(capacity // sizes).astype(float)
-    inverse = np.diag(1 / np.diag(columns))
-    used = inverse @ demand
-    for step in range(steps):
-        values = inverse.sum(0)
-        worth, pick = best_configuration(values, sizes, capacity)
-        if worth <= 1 + 1e-7:
-            break
-        direction = inverse @ pick
-        ratio = np.where(direction > 1e-9, used / np.maximum(direction, 1e-9), np.inf)
-        out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
-            break
-        columns[:, out] = pick
-        pivot = inverse[out] / direction[out]
-        inverse -= np.outer(direction, pivot)
-        inverse[out] = pivot
-        if step % 50 == 49:
-            inverse = np.linalg.inv(columns)
-        used = np.maximum(inverse @ demand, 0)
+def _completion(room: int, sizes: np.ndarray, left: np.ndarray, fits: np.ndarray) -> list[int]:
+    """Positions of the one or two sizes that fill the room best; fits[x] is the first position of a size up to x."""
+    one = fits[room]
+    if one == len(sizes):
+        return []
+    first = np.flatnonzero((sizes <= room) & (left > 0))
+    rest = room - sizes[first]
+    second = fits[rest]
+    # A size that is needed twice must be there twice; else its neighbour below has to do.
+    short = (second == first) & (left[first] < 2)
+    second = np.where(short, fits[np.maximum(np.minimum(rest, sizes[first] - 1), 0)], second)
+    padded = np.r_[sizes, 0]
+    filled = sizes[first] + padded[second]
+    at = int(filled.argmax())
+    if filled[at] == sizes[one]:
+        return [int(one)]
+    return [int(first[at]), int(second[at])] if second[at] < len(sizes) else [int(first[at])]
+
+
+def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
+    """Configurations (positions of falling sizes) and how often each is used; together they meet the demand.
+
+    A configuration starts with the largest size that is left, takes the largest that fit while the room is wide, and
+    ends with the one or two sizes that fill it best. It is used as often as the demand allows, which uses up a size,
+    so there are no more configurations than sizes.
+    """
     left, out = demand.astype(np.int64).copy(), []
-    for j in np.argsort(-used, kind="stable"):
-        need = columns[:, j].round().astype(np.int64)
-        if not need.any():
-            continue
-        times = min(int(used[j] + 1e-6), int((left[need > 0] // need[need > 0]).min()))
-        if times:
-            out.append((need, times))
-            left -= need * times
+    while left.any():
+        there = np.flatnonzero(left)
+        picked, room = [int(there[0])], capacity - int(sizes[there[0]])
+        spare = left.copy()
+        spare[there[0]] -= 1
+        while room >= 3 * sizes[there[-1]]:
+            fitting = np.flatnonzero((sizes <= room) & (spare > 0))
+            if not len(fitting) or room - sizes[fitting[0]] < sizes[there[-1]] * 2:
+                break
+            picked.append(int(fitting[0]))
+            spare[fitting[0]] -= 1
+            room -= int(sizes[fitting[0]])
+        there = np.flatnonzero(spare)
+        if len(there):
+            fits = there[np.minimum(np.searchsorted(-sizes[there], -np.arange(capacity + 1), side="left"), len(there) - 1)]
+            fits[: sizes[there[-1]]] = len(sizes)
+            picked += _completion(room, sizes, spare, fits)
+        need = np.bincount(picked, minlength=len(sizes))
+        times = int((left[need > 0] // need[need > 0]).min())
+        out.append((picked, times))
+        left -= need * times
     return out
 
 
@@ -178,8 +218,7 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GR
         sizes, members = group_sizes(lengths[large], groups)
         taken = [0] * len(sizes)
         lens = lengths.tolist()
-        for need, times in configurations(sizes, np.array([len(m) for m in members]), capacity):
-            slots = np.repeat(np.arange(len(sizes)), need).tolist()
+        for slots, times in configurations(sizes, np.array([len(m) for m in members]), capacity):
             for _ in range(times):
                 at = 0
                 for g in slots:
@@ -190,8 +229,6 @@ def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GR
                 if at < capacity:
                     rooms.put(capacity - at, count)
                 count += 1
-        over = [int(large[i]) for m, t in zip(members, taken, strict=True) for i in m[t:]]
-        rest = sorted(over, key=lambda i: -lens[i]) + rest
     for item, length in zip(rest, lengths[rest].tolist() if rest else [], strict=True):
         room, where = rooms.best(length) or (capacity, -1)
         if where < 0:
