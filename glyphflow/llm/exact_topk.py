@@ -88,6 +88,13 @@ def _wide(m: np.ndarray, dim: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, dim - m.shape[1]))) if m.shape[1] < dim else m
 
 
+def _whole(m: np.ndarray) -> np.ndarray:
+    """Python's integers, which don't overflow."""
+    out = np.empty(m.shape, object)
+    out[...] = [[int(x) for x in row] for row in m.tolist()]
+    return out
+
+
 def search_blocks(blocks: list[dict], queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, vec_id, score) of the k best of these blocks for each query; ties to the smaller id."""
     dim = max([queries.shape[1], *(b["m"].shape[1] for b in blocks)])
@@ -117,7 +124,7 @@ def search_blocks(blocks: list[dict], queries: np.ndarray, query_ids: np.ndarray
                 r, c = np.nonzero(s >= least[:, None])
                 s = s[r, c].astype(np.int64)
             else:
-                exact = queries[own].astype(object) @ m.T.astype(object)
+                exact = _whole(queries[own]) @ _whole(m).T
                 s = np.array([min(max(int(x), _LONG_MIN), _LONG_MAX) for x in exact.ravel()], np.int64)
                 r, c = np.divmod(np.arange(len(s)), m.shape[0])
             other = block["ids"][c] != query_ids[own[r]]
