@@ -137,13 +137,18 @@ def count_by_range(points: DataFrame, kind: str) -> DataFrame:
 
 
 def point_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """code_point, n over all texts (counted map-side before the one shuffle)."""
+    """c, code_point, n over all texts (counted map-side before the one shuffle)."""
     chars = docs.select(F.explode(F.split(F.col(text_col), "")).alias("c")).where("c <> ''")
-    return chars.groupBy("c").agg(F.count("*").alias("n")).select(F.ascii("c").alias("code_point"), "n")
+    return chars.groupBy("c").agg(F.count("*").alias("n")).select("c", F.ascii("c").alias("code_point"), "n")
+
+
+def has_category(char: Column, name: str) -> Column:
+    """Whether a one-character string is of a general category, by its short name."""
+    return char.rlike(r"^[\p{Lu}\p{Ll}\p{Lt}]$" if name == "LC" else rf"^\p{{{name}}}$")
 
 
 def has_property(point: Column, name: str) -> Column:
-    """Whether a code point has a property; an unknown name has none."""
+    """Whether a code point has a block, script or binary property of few ranges; an unknown name has none."""
     out = F.lit(False)
     for a, b in property_ranges(name) or ():
         out = out | (point == a if a == b else point.between(a, b) if (a, b) != (0, LAST) else F.lit(True))

@@ -2,7 +2,11 @@
 
 Stacks are shared: a stack is a number that stands for (symbol, what lies below), so equal stacks have equal numbers and
 merging paths is a dictionary. For every token each path's closure under reductions is taken first; every state of the
-closure may then shift the token, and a state with a single symbol may also rest as a complete parse of a prefix.
+closure may then shift the token, and a state with a single symbol is a complete parse of what came before.
+
+A token is shifted only onto a symbol that some rule lets it follow, and a parse of a prefix never goes on behind a
+gap. With ``prefixes`` both are allowed: any token that starts a rule may be shifted anywhere, and parses of prefixes
+stay in the beam. That is looser, and a beam may then lose a complete parse to paths that lead nowhere.
 """
 
 from __future__ import annotations
@@ -10,6 +14,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 import numpy as np
 
@@ -26,8 +31,7 @@ def step_budget(tokens: int) -> int:
     return 20 * tokens + 64
 
 
-@dataclass(frozen=True)
-class Path:
+class Path(NamedTuple):
     stack: int
     position: int
     last_start: int
@@ -51,7 +55,10 @@ class Node:
 
 @dataclass
 class ParseResult:
+    #: Parses that the forest holds: complete ones if there are any, else those of a prefix.
     parses: int = 0
+    #: All paths that rest on one symbol, however much they took.
+    resting: int = 0
     success_prefix: bool = False
     success_full: bool = False
     roots: list[int] = field(default_factory=list)
@@ -69,19 +76,25 @@ class ParseResult:
 class Parser:
     """Reads productions once; each Parser call works on one document."""
 
-    def __init__(self, grammar: Grammar, budget: int = PATH_BUDGET, preconditions: dict[str, Callable] | None = None, actions: dict[str, Callable] | None = None, contexts: tuple[str, ...] = (), pruner=None):
+    def __init__(self, grammar: Grammar, budget: int = PATH_BUDGET, preconditions: dict[str, Callable] | None = None, actions: dict[str, Callable] | None = None, contexts: tuple[str, ...] = (), pruner=None, prefixes: bool = False):
+        """prefixes: resting parses of a prefix stand beside complete ones, under one ambiguous root."""
         ready = grammar.materialized()
         self.rules: list[Production] = ready.productions
         self.roots = ready.root_rules()
         self.ignorable = ready.ignorable()
         self.budget, self.preconditions, self.actions = budget, preconditions or {}, actions or {}
-        self.contexts, self.pruner = set(contexts), pruner
+        self.contexts, self.pruner, self.prefixes = set(contexts), pruner, prefixes
         #: Rules by the symbol, or pair of symbols, that a reducible stack ends with.
         self.by_last: dict[str, list[int]] = defaultdict(list)
         self.by_pair: dict[tuple[str, str], list[int]] = defaultdict(list)
         #: For each symbol, the stack tops (nearest first) after which it may be shifted.
         self.before: dict[str, list[tuple[int, tuple[str, ...]]]] = defaultdict(list)
+        #: Symbols that some rule lets follow a symbol directly, what those begin with included.
+        self.after: dict[str, set[str]] = defaultdict(set)
+        begins = self._begins()
         for r, rule in enumerate(self.rules):
+            for left, right in zip(rule.rhs, rule.rhs[1:], strict=False):
+                self.after[left] |= begins.get(right, {right})
             if len(rule.rhs) == 1:
                 self.by_last[rule.rhs[0]].append(r)
             else:
@@ -89,6 +102,20 @@ class Parser:
             for i, symbol in enumerate(rule.rhs):
                 self.before[symbol].append((r, rule.rhs[:i][::-1]))
 
+    def _begins(self) -> dict[str, set[str]]:
+        """For each rule name, itself and every symbol that may stand first in it."""
+        first: dict[str, set[str]] = defaultdict(set)
+        for rule in self.rules:
+            first[rule.name] |= {rule.name, rule.rhs[0]}
+        changed = True
+        while changed:
+            changed = False
+            for own in first.values():
+                more = set().union(*(first[s] for s in own if s in first)) - own
+                own |= more
+                changed |= bool(more)
+        return first
+
     def __call__(self, tokens: list[Token], source_length: int, snapshot_every: int = 0, resume: tuple | None = None, label: bool = False) -> ParseResult:
         return _Run(self, tokens, source_length, snapshot_every, resume, label).result
 
@@ -124,6 +151,7 @@ class _Run:
         self.p, self.tokens, self.label = parser, tokens, label
         self.result = ParseResult()
         self.next_number = 1
+        self.rested: list[Path] = []
         self.forest = Forest()
         paths = [Path(0, 0, -1, np.float32(1), 0, -1, 0)]
         self.lineage: dict[int, int] = {0: -1}
@@ -152,16 +180,21 @@ class _Run:
             if parser.pruner is not None:
                 paths = parser.pruner(paths, len(tokens))
             paths = self._beam(paths, parser.budget)
+            if not parser.prefixes:
+                self.rested = self._merged([p for p in self.rested if p.position >= max(x.position for x in self.rested)])
             if not paths:
                 self.result.failed_at = k
                 break
         paths = self._finish(paths)
+        if not any(p.depth == 1 for p in paths):
+            paths = self._finish(self.rested)
         self.final = paths
         found = [p for p in paths if p.depth == 1]
+        self.result.resting, self.result.success_prefix = len(found), bool(found)
+        complete = [p for p in found if tokens[p.last_token].start >= tokens[significant[-1]].start]
+        self.result.success_full = bool(complete)
+        found = complete if complete and not parser.prefixes else found
         self.result.parses = len(found)
-        self.result.success_prefix = bool(found)
-        last = significant[-1] if significant else -1
-        self.result.success_full = any(self.tokens[p.last_token].start >= self.tokens[last].start for p in found) if significant else False
         if found:
             roots = [stacks[p.stack][1] for p in found]
             root = roots[0] if len(roots) == 1 else self._ambiguous(roots, source_length)
@@ -194,13 +227,14 @@ class _Run:
         number = self.next_number
         self.next_number += 1
         self.lineage[number] = path.number
-        fields = {"stack": path.stack, "position": path.position, "last_start": path.last_start, "score": path.score, "last_token": path.last_token, "depth": path.depth}
-        return Path(number=number, **(fields | change))
+        return path._replace(number=number, **change)
 
     def _shift(self, path: Path, k: int) -> Path | None:
         t = self.tokens[k]
         if t.start <= path.last_start:
             return None
+        if path.stack and not self.p.prefixes and t.type not in self.p.after[self.forest.stacks[path.stack][0]]:
+            return None
         for r, before in self.p.before.get(t.type, ()):
             if self._top(path.stack, before) and self._allowed(self.p.rules[r], t.context):
                 break
@@ -265,8 +299,11 @@ class _Run:
                 if shifted:
                     out.append(shifted)
                 if state.depth == 1:
-                    out.append(state)  # rests as a complete parse of what came before
-                elif not shifted and not less and (t.start <= state.last_start or sibling):
+                    # A complete parse of what came before.
+                    (out if self.p.prefixes else self.rested).append(state)
+                if state.depth == 1 and self.p.prefixes:
+                    continue
+                if not shifted and not less and (t.start <= state.last_start or sibling):
                     out.append(state)  # another reading of a span that it has, or will have in the next token
             wave = [s for s in self._merged(reduced) if s.stack not in seen]
             seen.update(s.stack for s in wave)
@@ -305,7 +342,7 @@ class _Run:
             if not moved:
                 break
             if self.p.budget >= 1 and len(paths) > self.p.budget:
-                paths = sorted(paths, key=lambda p: -p.score)[: self.p.budget]
+                paths = sorted(paths, key=lambda p: (0 if self.p.prefixes else -p.position, -p.score))[: self.p.budget]
         return paths
 
     def _ambiguous(self, roots: list[int], source_length: int) -> int:

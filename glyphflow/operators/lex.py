@@ -6,10 +6,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glyphflow.functions.unicode_tables import Ranges
 from glyphflow.grammar import Grammar
 from glyphflow.lexer import PATH_BUDGET, Lexer, Positions, split_escapes
 from glyphflow.plans.lexing import NativeLexer, native_lexer
-from glyphflow.rules import CompiledRule
+from glyphflow.rules import CompiledRule, char_class
 
 UNMATCHED = "\x00"
 TOKEN_SCHEMA = "step int, path_id int, seq int, type string, value string, start_pos int, length int, line int, start_col int, end_col int, context string, is_splittable boolean, split_tokens array<struct<type string, value string>>"
@@ -20,10 +21,20 @@ def _rules(rules: Grammar | list[CompiledRule]) -> list[CompiledRule]:
     return rules.lexer_rules() if isinstance(rules, Grammar) else sorted(rules, key=lambda r: (-r.priority, r.ordinal))
 
 
+def _starts_in(value: Column, ranges: Ranges) -> Column:
+    """Whether the first character is in the ranges: comparisons for a few, a pattern for many."""
+    if len(ranges) > 12:
+        return value.rlike("^" + char_class(ranges))
+    point, out = F.ascii(value), F.lit(False)
+    for a, b in ranges:
+        out = out | (point == a if a == b else point.between(a, b))
+    return out
+
+
 def _type_of(native: NativeLexer, value: Column) -> Column:
     out = F.lit(UNMATCHED)
-    for pattern, name, _ in reversed(native.classes):
-        out = F.when(value.rlike("^" + pattern), F.lit(name)).otherwise(out)
+    for ranges, name, _ in reversed(native.classes):
+        out = F.when(_starts_in(value, ranges), F.lit(name)).otherwise(out)
     for literal, name, _ in reversed(native.literals):
         out = F.when(value == F.lit(literal), F.lit(name)).otherwise(out)
     return out

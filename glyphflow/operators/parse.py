@@ -16,18 +16,19 @@ from glyphflow.operators.diagnostics import DIAGNOSTIC_FIELDS, parse_diagnostics
 NODE = "struct<node_id: bigint, node_type: int, rule_name: string, value: string, source_start: bigint, source_length: bigint, is_terminal: boolean, depth: int>"
 TOKEN = "struct<type: string, value: string, start_pos: int, length: int>"
 FOREST_SCHEMA = (
-    "success_prefix boolean, success_full boolean, n_parses int, n_tokens int, n_steps int, source_length int, "
+    "success_prefix boolean, success_full boolean, n_parses int, n_resting int, n_tokens int, n_steps int, source_length int, "
     f"nodes array<{NODE}>, packed array<struct<packed_id: bigint, parent_id: bigint, rule_id: int>>, "
     "edges array<struct<packed_id: bigint, parent_id: bigint, child_id: bigint, child_ordinal: int>>, "
     f"resolved array<{TOKEN}>, diagnostics array<struct<{', '.join(f'{n}: {t}' for n, t in DIAGNOSTIC_FIELDS)}>>"
 )
 
 
-def parse(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", mode: str = "greedy", budget: int = PATH_BUDGET, file_col: str | None = None, preconditions=None, actions=None, pruner=None) -> DataFrame:
+def parse(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: str = "text", mode: str = "greedy", budget: int = PATH_BUDGET, file_col: str | None = None, preconditions=None, actions=None, pruner=None, prefixes: bool = False) -> DataFrame:
     """id and FOREST_SCHEMA: one row for each document, its forest inside.
 
     A parse need not take the whole text: success_prefix says that some path rests on a single symbol, success_full
-    that it took every token. Null text counts as empty. Documents don't meet, so nothing is shuffled.
+    that it took every token. The forest holds the complete parses where there are any, and with prefixes the parses of
+    prefixes beside them. Null text counts as empty. Documents don't meet, so nothing is shuffled.
     """
     out = StructType([docs.schema[id_col], *StructType.fromDDL(FOREST_SCHEMA).fields])
     rules = grammar.lexer_rules()
@@ -35,7 +36,7 @@ def parse(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     pair = docs.select(F.col(id_col), F.col(text_col).cast("string"), (F.col(file_col).cast("string") if file_col else F.lit("")).alias("__file"))
 
     def run(batches):
-        lexer, parser = Lexer(rules), Parser(grammar, budget, preconditions, actions, pruner=pruner)
+        lexer, parser = Lexer(rules), Parser(grammar, budget, preconditions, actions, pruner=pruner, prefixes=prefixes)
         for batch in batches:
             for at in range(0, batch.num_rows, 32):
                 part = batch.slice(at, 32)
@@ -54,6 +55,7 @@ def _forest(text: str, name: str, lexer: Lexer, parser: Parser, mode: str) -> di
         "success_prefix": result.success_prefix,
         "success_full": result.success_full and found.completed,
         "n_parses": result.parses,
+        "n_resting": result.resting,
         "n_tokens": len(tokens),
         "n_steps": result.steps,
         "source_length": length,

@@ -1 +1 @@
-
+"""Plan choice and the query catalogue."""

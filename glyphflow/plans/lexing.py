@@ -17,9 +17,9 @@ from glyphflow.rules import UNBOUNDED, CompiledRule, char_class
 @dataclass(frozen=True)
 class NativeLexer:
     pattern: str
-    #: literal -> type, and (first-character class, type) of the other rules.
+    #: (literal, type, skippable), and (first characters, type, skippable) of the other rules, small sets first.
     literals: tuple[tuple[str, str, bool], ...]
-    classes: tuple[tuple[str, str, bool], ...]
+    classes: tuple[tuple[Ranges, str, bool], ...]
 
 
 def _overlap(a: Ranges, b: Ranges) -> bool:
@@ -76,7 +76,7 @@ def native_lexer(rules: list[CompiledRule], contexts: tuple[str, ...] = ("defaul
     return NativeLexer(
         "|".join([*branches, r"[\s\S]"]),
         tuple((kept[i].literal, _type(kept[i]), kept[i].skippable) for i in literals),
-        tuple((char_class(r.first), _type(r), r.skippable) for r in classes),
+        tuple((r.first, _type(r), r.skippable) for r in sorted(classes, key=lambda r: len(r.first))),
     )
 
 

@@ -10,7 +10,7 @@ from glyphflow.lexer import PATH_BUDGET
 from glyphflow.operators import lex as L
 from glyphflow.operators import pattern_scan, select, symbols
 from glyphflow.operators.diagnostics import display, excerpt, unmatched_diagnostics
-from glyphflow.plans.catalog import register, table
+from glyphflow.plans.catalog import register, table, texts
 from glyphflow.plans.lexing import native_lexer
 
 PROPS = read_grammar(r"""
@@ -24,13 +24,14 @@ Grammar: Props
 <object> ::= <LBRACE> <pair> <RBRACE>
 <pair> ::= <STRING> <COLON> <NUMBER>
 """)
+# Prose has no comments: these two go without the default whitespace and comment rules, as a session's lexer does.
 WORDS = read_grammar(r"""
 Grammar: Words
 <WORD> ::= /\p{L}+/
 <NUMBER> ::= /[0-9]+/
 <SPACE> ::= /[ \t\r\n]+/
 <OTHER> ::= /[^\p{L}0-9 \t\r\n]/
-""")
+""").lexer_rules(defaults=False)
 KEYWORDS = read_grammar(r"""
 Grammar: Keywords
 <THE (priority:10)> ::= 'the'
@@ -41,7 +42,7 @@ Grammar: Keywords
 <NUMBER> ::= /[0-9]+/
 <WS> ::= /[ \t\r\n]+/ => { skip(); }
 <OTHER> ::= /[^a-z0-9 \t\r\n]/ => { skip(); }
-""")
+""").lexer_rules(defaults=False)
 LATIN = read_grammar(r"""
 Grammar: Latin
 <WORD> ::= /[a-zA-Z]+/
@@ -59,9 +60,9 @@ TURN = "concat_ws('-', conv_id, turn)"
 RE2_WORDS = r"\p{L}+|[0-9]+|[ \t\r\n]+|[^\p{L}0-9 \t\r\n]"
 
 
-def native(grammar):
-    found = native_lexer(grammar.lexer_rules())
-    assert found is not None, f"{grammar.name} needs the general lexer"
+def native(rules):
+    found = native_lexer(L._rules(rules))
+    assert found is not None, "these rules need the general lexer"
     return found
 
 
@@ -71,7 +72,7 @@ SELECT CASE WHEN v = '{' THEN 'LBRACE' WHEN v = '}' THEN 'RBRACE' WHEN v = ':' T
 FROM t GROUP BY 1
 """)
 def lex_json_props_counts(spark, sf):
-    return L.native_tokens(table(spark, sf, "events"), native(PROPS), "event_id", "props").groupBy("type").agg(F.count("*").alias("n"))
+    return L.native_tokens(texts(spark, sf, "events"), native(PROPS), "event_id", "props").groupBy("type").agg(F.count("*").alias("n"))
 
 
 @register("lex_documents_by_lang", rf"""
@@ -83,9 +84,10 @@ def lex_documents_by_lang(spark, sf):
     # The counts of a document leave the array as a row for each type, so tokens are never exploded.
     plan = native(WORDS)
     types = F.transform(L._cut(L.token_array(plan, F.col("text"))), lambda t: t["type"])
-    docs = table(spark, sf, "documents").select("lang", types.alias("t"))
+    docs = texts(spark, sf, "documents").select("lang", types.alias("t"))
     names = [n for _, n, _ in plan.classes]
-    counted = docs.select("lang", *[F.size(F.filter("t", lambda x, n=n: x == n)).cast("long").alias(n) for n in names])
+    is_type = lambda n: lambda x: x == n  # noqa: E731  a second parameter would be taken for the index
+    counted = docs.select("lang", *[F.size(F.filter("t", is_type(n))).cast("long").alias(n) for n in names])
     sums = counted.groupBy("lang").agg(*[F.sum(n).alias(n) for n in names])
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("type"), F.col(n).alias("n")) for n in names])).alias("p")
     return sums.select("lang", pairs).select("lang", "p.type", "p.n").where("n > 0")
@@ -99,7 +101,7 @@ SELECT id, CAST(seq AS INTEGER) AS seq, value, CAST(strlen(value) AS INTEGER) AS
 FROM t
 """)
 def lex_token_positions(spark, sf):
-    docs = table(spark, sf, "conversations").select(F.expr(TURN).alias("id"), "text")
+    docs = texts(spark, sf, "conversations").select(F.expr(TURN).alias("id"), "text")
     return L.native_tokens(docs, native(WORDS), "id", "text", positions=True).select("id", "seq", "value", "length", "start_pos")
 
 
@@ -115,7 +117,7 @@ SELECT doc_id, count(*) AS n, CAST(max(line) AS BIGINT) AS last_line, CAST(sum(l
 FROM q GROUP BY doc_id
 """)
 def lex_line_column(spark, sf):
-    rows = L.native_tokens(table(spark, sf, "documents"), native(WORDS), "doc_id", "text", positions=True)
+    rows = L.native_tokens(texts(spark, sf, "documents"), native(WORDS), "doc_id", "text", positions=True)
     return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("line").cast("long").alias("last_line"), F.sum("line").alias("lines"), F.sum("start_col").alias("columns"), F.max("end_col").cast("long").alias("widest"))
 
 
@@ -128,7 +130,7 @@ SELECT doc_id, CAST({_CONSUMED} AS INTEGER) AS consumed, {_CONSUMED} = strlen(te
 FROM documents
 """)
 def lex_first_unmatched(spark, sf):
-    return L.native_status(table(spark, sf, "documents"), native(LATIN), "doc_id", "text")
+    return L.native_status(texts(spark, sf, "documents"), native(LATIN), "doc_id", "text")
 
 
 @register("lex_diagnostics", rf"""
@@ -141,7 +143,7 @@ SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(col AS INTEGER) AS "column",
 FROM d
 """)
 def lex_diagnostics(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     status = L.native_status(docs, native(LATIN), "doc_id", "text")
     rows = unmatched_diagnostics(status, docs, "doc_id", "text", "source")
     return rows.select("doc_id", "line", "column", "position", display().alias("display"), excerpt().alias("excerpt"))
@@ -154,7 +156,7 @@ SELECT CASE WHEN v = 'the' THEN 'THE' WHEN v = 'and' THEN 'AND' WHEN v = 'th' TH
 FROM t GROUP BY 1
 """)
 def lex_greedy_keyword_vs_ident(spark, sf):
-    rows = L.lex(table(spark, sf, "documents"), KEYWORDS)
+    rows = L.lex(texts(spark, sf, "documents"), KEYWORDS)
     return rows.groupBy("type").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
@@ -171,7 +173,7 @@ b AS (SELECT 'WORD' AS type, word AS value, paths FROM p UNION ALL SELECT upper(
 SELECT type, value, CAST(sum(paths) AS BIGINT) AS n FROM b GROUP BY ALL
 """)
 def lex_exploratory_union(spark, sf):
-    rows = L.general_tokens(table(spark, sf, "part"), OVERLAP, "p_partkey", "p_name")
+    rows = L.general_tokens(texts(spark, sf, "part"), OVERLAP, "p_partkey", "p_name")
     return rows.groupBy("type", "value").agg(F.count("*").alias("n"))
 
 
@@ -180,13 +182,13 @@ WITH {_OVERLAP}
 SELECT p_partkey, CAST(max(paths * k) AS INTEGER) AS n_paths, true AS completed, CAST(sum(paths * k) AS INTEGER) AS n_tokens FROM p GROUP BY p_partkey
 """)
 def lex_exploratory_paths(spark, sf):
-    return L.lex_status(table(spark, sf, "part"), OVERLAP, "p_partkey", "p_name").select("p_partkey", "n_paths", "completed", "n_tokens")
+    return L.lex_status(texts(spark, sf, "part"), OVERLAP, "p_partkey", "p_name").select("p_partkey", "n_paths", "completed", "n_tokens")
 
 
 @register("lex_tiers_agree", "SELECT doc_id, true AS agree FROM documents")
 def lex_tiers_agree(spark, sf):
     """The JVM plan and the general lexer on every document: same tokens at the same places."""
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf, "documents")
     digest = lambda rows: rows.groupBy("doc_id").agg(F.sum(F.xxhash64("type", "value", "start_pos", "line", "start_col").cast("decimal(38,0)")).alias("d"))
     a = digest(L.native_tokens(docs, native(KEYWORDS), "doc_id", "text", positions=True))
     b = digest(L.general_tokens(docs, KEYWORDS, "doc_id", "text", "greedy"))
@@ -231,7 +233,7 @@ def path_merge_best_score(spark, sf):
 def skippable_filter(spark, sf):
     plan = native(PROPS)
     skip = [n for _, n, s in (*plan.literals, *plan.classes) if s]
-    return table(spark, sf, "events").select("event_id", F.size(F.filter(L.token_array(plan, F.col("props")), lambda t: t["type"].isin(skip))).cast("long").alias("n_skipped"))
+    return texts(spark, sf, "events").select("event_id", F.size(F.filter(L.token_array(plan, F.col("props")), lambda t: t["type"].isin(skip))).cast("long").alias("n_skipped"))
 
 
 @register("retag_action", r"""
@@ -239,7 +241,7 @@ WITH t AS (SELECT unnest(regexp_extract_all(props, '\{|\}|:|"[^"]*"|[0-9]+')) AS
 SELECT CASE WHEN v IN ('{', '}') THEN 'BRACE' WHEN v = ':' THEN 'COLON' WHEN v LIKE '"%' THEN 'KEY' ELSE 'NUMBER' END AS type, count(*) AS n FROM t GROUP BY 1
 """)
 def retag_action(spark, sf):
-    rows = L.native_tokens(table(spark, sf, "events"), native(PROPS), "event_id", "props")
+    rows = L.native_tokens(texts(spark, sf, "events"), native(PROPS), "event_id", "props")
     rows = L.retag(rows, {"LBRACE": 'return("BRACE")', "RBRACE": 'return("BRACE")', "STRING": 'return("KEY");', "COLON": "skipEmpty()"})
     return rows.groupBy("type").agg(F.count("*").alias("n"))
 
@@ -250,7 +252,7 @@ _ESCAPED = r"'\x{' || hex(p_size) || '}-' || p_name || '\x{' || p_partkey || '}'
 @register("split_tokens", rf"SELECT p_partkey, 'HEX_ESCAPE' AS type, unnest(regexp_extract_all({_ESCAPED}, '\\x\{{([^}}]+)\}}', 1)) AS value FROM part")
 def split_tokens(spark, sf):
     value = F.concat(F.lit(r"\x{"), F.hex("p_size"), F.lit("}-"), F.col("p_name"), F.lit(r"\x{"), F.col("p_partkey").cast("string"), F.lit("}"))
-    rows = L.split_tokens(table(spark, sf, "part").select("p_partkey", value.alias("value")))
+    rows = L.split_tokens(texts(spark, sf, "part").select("p_partkey", value.alias("value")))
     return rows.select("p_partkey", F.explode("split_tokens").alias("x")).select("p_partkey", "x.type", "x.value")
 
 
@@ -262,7 +264,7 @@ n AS (SELECT type, lead(type) OVER (PARTITION BY doc_id ORDER BY i) AS next_type
 SELECT type, next_type, count(*) AS n FROM n WHERE next_type IS NOT NULL GROUP BY ALL
 """)
 def lookahead_bigrams(spark, sf):
-    rows = select.lookahead(L.native_tokens(table(spark, sf, "documents"), native(WORDS), "doc_id", "text"))
+    rows = select.lookahead(L.native_tokens(texts(spark, sf, "documents"), native(WORDS), "doc_id", "text"))
     return rows.where("next_type IS NOT NULL").groupBy("type", "next_type").agg(F.count("*").alias("n"))
 
 
@@ -270,7 +272,7 @@ def lookahead_bigrams(spark, sf):
 SELECT event_id, regexp_extract(props, '("[^"]*")', 1) AS key, regexp_extract(props, '([0-9]+)\s*\}', 1) AS value FROM events
 """)
 def projection_sequences(spark, sf):
-    rows = L.native_tokens(table(spark, sf, "events"), native(PROPS), "event_id", "props")
+    rows = L.native_tokens(texts(spark, sf, "events"), native(PROPS), "event_id", "props")
     found = select.sequences(rows, ["STRING", "COLON", "NUMBER"], "event_id")
     return found.select("event_id", F.col("matched")[0].alias("key"), F.col("matched")[2].alias("value"))
 
@@ -283,7 +285,7 @@ SELECT page_id, CAST(max(depth) AS INTEGER) AS deepest, CAST(min(depth) AS INTEG
 """)
 def context_depth(spark, sf):
     tags = F.posexplode(F.regexp_extract_all("html", F.lit(r"</?[a-zA-Z]+|[<>]"), F.lit(0))).alias("seq", "value")
-    rows = table(spark, sf, "pages").select("page_id", tags)
+    rows = texts(spark, sf, "pages").select("page_id", tags)
     rows = rows.withColumn("type", F.when(F.col("value").startswith("</"), "CLOSE").when(F.col("value").rlike("^<."), "OPEN").otherwise("MARK"))
     deep = symbols.context_depth(rows, ["OPEN"], ["CLOSE"], "page_id")
     return deep.groupBy("page_id").agg(F.max("depth").alias("deepest"), F.min("depth").alias("lowest"))
@@ -295,7 +297,7 @@ l AS (SELECT doc_id, unnest(ls) AS s, generate_subscripts(ls, 1) AS line FROM d)
 SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(coalesce(sum(strlen(s) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start FROM l
 """)
 def line_offsets(spark, sf):
-    return select.line_starts(table(spark, sf, "documents"))
+    return select.line_starts(texts(spark, sf, "documents"))
 
 
 @register("line_of_offset", """
@@ -306,7 +308,7 @@ LATERAL (SELECT decode(encode(text)[1 : o]) AS h)
 WHERE strlen(text) = length(text)
 """)
 def line_of_offset(spark, sf):
-    docs = table(spark, sf, "documents").where(is_ascii(F.col("text")))
+    docs = texts(spark, sf, "documents").where(is_ascii(F.col("text")))
     points = docs.select("doc_id", F.expr("octet_length(text) div 2").cast("int").alias("offset"))
     return select.line_of(select.line_starts(docs), points).select("doc_id", "offset", "line", "column")
 
@@ -318,7 +320,7 @@ p AS (SELECT *, coalesce(sum(length(value)) OVER (PARTITION BY doc_id ORDER BY i
 SELECT doc_id, CAST(s AS INTEGER) AS start_pos, value FROM p WHERE s <= o AND o < s + length(value) AND regexp_matches(value, '[a-z0-9]')
 """)
 def token_at_offset(spark, sf):
-    docs = table(spark, sf, "documents").where(is_ascii(F.col("text")))
+    docs = texts(spark, sf, "documents").where(is_ascii(F.col("text")))
     points = docs.select("doc_id", F.expr("length(text) div 2").alias("offset"))
     rows = L.native_tokens(docs, native(KEYWORDS), "doc_id", "text", positions=True).select("doc_id", "start_pos", "length", "value")
     return select.at_offset(rows, points, start_col="start_pos", length_col="length").select("doc_id", F.col("start_pos").cast("int").alias("start_pos"), "value")
@@ -331,14 +333,14 @@ p AS (SELECT *, coalesce(sum(strlen(value)) OVER (PARTITION BY doc_id ORDER BY i
 SELECT doc_id, count(*) AS n FROM p WHERE s < 200 AND s + strlen(value) > 100 AND regexp_matches(value, '^[a-z0-9]') GROUP BY doc_id
 """)
 def tokens_in_range(spark, sf):
-    rows = L.native_tokens(table(spark, sf, "documents"), native(KEYWORDS), "doc_id", "text", positions=True)
+    rows = L.native_tokens(texts(spark, sf, "documents"), native(KEYWORDS), "doc_id", "text", positions=True)
     return select.intersecting(rows, 100, 200).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 PATTERNS = [r"a+?b", r"[^\]x]{2}(?i)\p{Lu}", r"\Qa.b\E|^$", r"(?#note)(\d+)\.", r"\x{41}\x42", r"é*", r"\p{Nope}", r"(?<n>\w)", "ab[", "x\\"]
 _PATTERN_COUNTS = {
-    "AnyChar": 0, "Alternation": 1, "CharacterClass": 1, "EndAnchor": 1, "EscapeSequence": 5, "GroupEnd": 1, "GroupStart": 1, "InlineModifier": 1,
-    "LazyQuantifier": 1, "Literal": 19, "LiteralText": 1, "Quantifier": 2, "RegexComment": 1, "SpecialGroup": 1, "StartAnchor": 1, "UnicodeProperty": 2, "Invalid": 2,
+    "AnyChar": 0, "Alternation": 1, "CharacterClass": 1, "EndAnchor": 1, "EscapeSequence": 4, "GroupEnd": 1, "GroupStart": 1, "InlineModifier": 1,
+    "LazyQuantifier": 1, "Literal": 16, "LiteralText": 1, "Quantifier": 2, "RegexComment": 1, "SpecialGroup": 1, "StartAnchor": 1, "UnicodeProperty": 2, "Invalid": 2,
 }
 
 
@@ -367,7 +369,7 @@ def lex_path_budget(spark, sf):
     rules = read_grammar(r"<word (priority:5)> ::= /[a-z]+/" "\n" r"<letter (priority:4)> ::= /[a-z]/" "\n" r"<two (priority:3)> ::= /[a-z][a-z]?/")
     out = None
     for budget in (1, 8, PATH_BUDGET):
-        got = L.lex_status(table(spark, sf, "part"), rules, "p_partkey", "p_name", budget=budget)
+        got = L.lex_status(texts(spark, sf, "part"), rules, "p_partkey", "p_name", budget=budget)
         one = got.agg((F.max("most_active") <= budget).alias("within"), F.bool_and("completed").alias("completed")).select(F.lit(budget).alias("budget"), "within", "completed")
         out = one if out is None else out.unionByName(one)
     return out
