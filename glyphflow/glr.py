@@ -223,6 +223,12 @@ class _Run:
             stack = stacks[stack][2]
         return True
 
+    def _covered(self, path: Path, t: Token) -> bool:
+        """Whether the path has taken another reading of the token's span."""
+        if self.p.prefixes or path.last_token < 0:
+            return t.start <= path.last_start
+        return t.start < self.tokens[path.last_token].end
+
     def _fork(self, path: Path, **change) -> Path:
         number = self.next_number
         self.next_number += 1
@@ -231,7 +237,7 @@ class _Run:
 
     def _shift(self, path: Path, k: int) -> Path | None:
         t = self.tokens[k]
-        if t.start <= path.last_start:
+        if self._covered(path, t):
             return None
         if path.stack and not self.p.prefixes and t.type not in self.p.after[self.forest.stacks[path.stack][0]]:
             return None
@@ -303,8 +309,10 @@ class _Run:
                     (out if self.p.prefixes else self.rested).append(state)
                 if state.depth == 1 and self.p.prefixes:
                     continue
-                if not shifted and not less and (t.start <= state.last_start or sibling):
-                    out.append(state)  # another reading of a span that it has, or will have in the next token
+                if sibling and not self.p.prefixes:
+                    out.append(state)  # it may take another reading, which follows
+                elif not shifted and not less and (self._covered(state, t) or sibling):
+                    out.append(state)
             wave = [s for s in self._merged(reduced) if s.stack not in seen]
             seen.update(s.stack for s in wave)
             if not wave:
