@@ -95,6 +95,34 @@ def op9_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "tokens", "block", "place")
 
 
+OP9_SQL = r"""
+WITH RECURSIVE m AS (
+  SELECT doc_id, source, coalesce('s:' || source, 'n:') AS s, CAST(len(regexp_extract_all(coalesce(text, ''), '\S+')) AS BIGINT) AS tokens,
+    coalesce(CAST(doc_id AS VARCHAR), '') AS id, md5(coalesce(text, '')) AS h
+  FROM documents
+), t AS (SELECT s, CAST(sum(tokens) AS BIGINT) AS total, count(*) AS n FROM m GROUP BY s),
+shares AS (SELECT *, total / CAST(sum(total) OVER () AS DOUBLE) AS share FROM t),
+r AS (SELECT max(share) / min(share) AS r FROM shares WHERE share > 0),
+b(i, lo, hi) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL SELECT i + 1, CASE WHEN pow(r, 1 - (lo + hi) / 2) <= 2 THEN lo ELSE (lo + hi) / 2 END, CASE WHEN pow(r, 1 - (lo + hi) / 2) <= 2 THEN (lo + hi) / 2 ELSE hi END FROM b, r WHERE i < 60
+), a AS (SELECT CASE WHEN r <= 2 THEN 0 ELSE hi END AS a FROM b, r WHERE i = 60),
+w AS (SELECT s, total, n, CASE WHEN share > 0 THEN pow(share, a) ELSE 0 END AS raised FROM shares, a),
+x AS (SELECT s, total, n, raised / sum(raised) OVER () AS weight FROM w),
+own AS (SELECT *, CAST(round(weight * (SELECT max(total / weight) FROM x WHERE weight > 0)) AS BIGINT) AS own FROM x),
+p AS (SELECT s, CASE WHEN total > 0 THEN own // total ELSE 1 END AS passes, CASE WHEN total > 0 THEN own % total ELSE 0 END AS rest,
+  greatest(2, CAST(ceil(log2(greatest(1, max(n) OVER ()) / 512.0 + 1)) AS INTEGER)) AS bits FROM own),
+o AS (SELECT m.*, passes, rest, bits, CAST('0x' || substr(md5(concat_ws(':', 7, passes, id, h)), 1, 15) AS BIGINT) AS ord FROM m JOIN p USING (s)),
+k AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', 7, s, ord >> (60 - bits))), 1, 15) AS BIGINT) AS block FROM o),
+u AS (SELECT s, block, rest, sum(tokens) AS tokens, sum(sum(tokens)) OVER (PARTITION BY s ORDER BY block) AS upto FROM k WHERE rest > 0 GROUP BY s, block, rest),
+e AS (SELECT s, min(block) AS edge, arg_min(rest - upto + tokens, block) AS room FROM u WHERE upto > rest GROUP BY s),
+v AS (SELECT s, ord, room, sum(tokens) OVER (PARTITION BY s ORDER BY ord) AS held FROM k JOIN e USING (s) WHERE block = edge),
+c AS (SELECT s, max(ord) AS cut FROM v WHERE held <= room GROUP BY s),
+f AS (SELECT k.*, unnest(range(passes + CASE WHEN edge > block OR (edge = block AND ord <= cut) THEN 1 ELSE 0 END)) AS copy FROM k LEFT JOIN e USING (s) LEFT JOIN c USING (s)),
+g AS (SELECT *, CAST('0x' || substr(md5(concat_ws(':', 7, copy, id, h)), 1, 15) AS BIGINT) AS place FROM f)
+SELECT doc_id, source, CAST(copy AS INTEGER) AS copy, tokens, CAST('0x' || substr(md5(concat_ws(':', 7, s, place >> (60 - bits))), 1, 15) AS BIGINT) AS block, place FROM g
+"""
+
 QUERIES: dict[str, Query] = {
     "op1_exact_topk": Query(op1_exact_topk, OP1_SQL),
     "op2_toxicity": Query(op2_toxicity),
@@ -104,6 +132,6 @@ QUERIES: dict[str, Query] = {
     "op6_substring_dedup": Query(op6_substring_dedup),
     "op7_exact_dedup": Query(op7_exact_dedup, OP7_SQL),
     "op8_quality": Query(op8_quality),
-    "op9_mixing": Query(op9_mixing),
+    "op9_mixing": Query(op9_mixing, OP9_SQL),
     "op10_line_dedup": Query(op10_line_dedup, OP10_SQL),
 }
