@@ -88,6 +88,38 @@ class Trie:
         return list(best.items())
 
 
+HEAD = 4
+
+
+class Heads(dict):
+    """Whether a token that begins like this can still spell an entry; answers are kept as they are found."""
+
+    def __init__(self, entries: list[str]):
+        self.entries = entries
+
+    def __missing__(self, head: str) -> bool:
+        self[head] = out = any(self._near(head, e) for e in self.entries)
+        return out
+
+    @staticmethod
+    def _near(head: str, entry: str) -> bool:
+        word = entry.rstrip("*")
+        if not head or head[0] != word[0]:
+            return False
+        if entry.endswith("*"):
+            n = min(len(head), len(word))
+            return head[:n] == word[:n] and (len(head) == HEAD or len(head) >= len(word))
+        most = allowed_edits(len(word))
+        if len(head) < HEAD:  # the head is the whole token
+            return len(word) - most <= len(head) <= len(word) + most
+        row = list(range(len(word) + 1))
+        for i, c in enumerate(head, 1):
+            last, row = row, [i]
+            for j, w in enumerate(word, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != w)))
+        return min(row) <= most
+
+
 def _terms(text: str) -> set[str]:
     words = set(_TOKEN.findall(text.lower()))
     out = {w for w in words if len(w) <= MAX_TOKEN}
@@ -146,16 +178,22 @@ def cover(found: list[set[str]], weight: dict[str, float], entries: int = ENTRIE
 class Judge:
     def __init__(self, entries: list[str]):
         self.trie = Trie(entries)
+        self.heads = Heads(entries)
         self.harmless: set[str] = set()
         self.context: dict[str, float] = {}
         self.weights = np.array([-3.0, 3.0, 1.0, -1.0, 0.0, 0.0])
         self.memo: dict[str, int] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": {}}
+        return {**self.__dict__, "memo": {}, "heads": None}
+
+    def __setstate__(self, state):
+        self.__dict__ = {**state, "heads": Heads(state["trie"].entries)}
 
     def edits(self, token: str) -> int:
         """Least edits to an entry; -1 for no entry."""
+        if not self.heads[token[:HEAD]]:
+            return -1
         got = self.memo.get(token)
         if got is None:
             if len(self.memo) > _MEMO:
@@ -169,8 +207,8 @@ class Judge:
     def hits(self, text: str) -> tuple[list[tuple[str, int, bool, list[str]]], int]:
         """(token, edits, quoted, window words) of each hit, and the number of tokens."""
         tokens = _TOKEN.findall(text.lower())
-        edits = self.edits
-        at = [i for i, t in enumerate(tokens) if edits(t) >= 0]
+        edits, heads = self.edits, self.heads
+        at = [i for i, t in enumerate(tokens) if heads[t[:HEAD]] and edits(t) >= 0]
         if not at:
             return [], len(tokens)
         marks = _quoted(text.lower()) if any(q in text for q in QUOTES) else set()

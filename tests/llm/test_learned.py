@@ -101,6 +101,19 @@ def test_automaton_agrees_with_edit_distance():
         assert dict(trie.match(t)) == want, t
 
 
+def test_heads_reject_no_token_that_matches():
+    rng = random.Random(9)
+    entries = ["idiot", "scum", "worthless", "lowei*", "aab", "abababab"]
+    trie, heads = toxicity.Trie(entries), toxicity.Heads(entries)
+    for e in entries * 300:
+        t = list(e.rstrip("*"))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "x"])
+        token = "".join(t)
+        assert heads[token[: toxicity.HEAD]] or not trie.match(token), token
+
+
 def test_beginnings_and_misspellings_and_mentions():
     judge = toxicity.Judge(["idiot", "lowei*"])
     assert [judge.edits(t) for t in ("idiot", "idiott", "idoit", "lowei", "loweischaft", "lowe", "plowei", "x" * 99)] == [0, 1, -1, 0, 0, -1, -1, -1]
