@@ -24,6 +24,8 @@ from .common import slices
 MIN_SENTENCES, MIN_WORDS = 2, 24
 #: Sentences of more words are cut after words whose checksum ends in three zero bits, so equal passages cut alike.
 LONG_SENTENCE = 24
+#: A piece without such a word is cut here all the same: one word said hundreds of times cuts alike anywhere.
+LONGEST_PIECE = 64
 #: Occurrences that a map task holds before it sends them on.
 HELD = 1 << 20
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
@@ -44,7 +46,7 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
             start, own = at, []
             for m in _WORD.finditer(text, at, end):
                 own.append(m.group().strip())
-                if zlib.crc32(own[-1].lower().encode("utf-8", "surrogatepass")) & 7 == 0 and m.end() < end:
+                if (zlib.crc32(own[-1].lower().encode("utf-8", "surrogatepass")) & 7 == 0 or len(own) >= LONGEST_PIECE) and m.end() < end:
                     out.append((start, m.end(), " ".join(own).lower(), len(own)))
                     start, own = m.end(), []
             if start < end:

@@ -100,9 +100,9 @@ def test_components_of_chains_loops_and_nothing(spark):
 
 
 def test_keep_one_keeps_the_smallest_id(spark):
-    rows = [(3, "the same words here", 1), (2, "The same words here", 2), (2, "The same words here", 2), (9, "another text that is quite different", 3), (None, "x", 4)]
+    rows = [(3, "the same words here", 1), (2, "The same words here", 2), (2, "The same words here", 2), (9, "another text that is quite different", 3), (None, "x", 4), (None, "x", 4), (None, "an altogether different text here", 5), (None, "the same words here", 6)]
     got = sorted((tuple(r) for r in keep_one(spark.createDataFrame(rows, DOCS + ", component_id int")).collect()), key=str)
-    assert got == [(2, "The same words here", 2), (9, "another text that is quite different", 3), (None, "x", 4)]
+    assert got == [(2, "The same words here", 2), (9, "another text that is quite different", 3), (None, "an altogether different text here", 5), (None, "x", 4)]
 
 
 def brute_spans(rows):
@@ -150,5 +150,11 @@ def test_sentences_are_the_whole_text():
         assert "".join(text[s:e] for s, e, *_ in span_dedup.sentences(text)) == text
 
 
+def test_one_word_said_often_is_a_repeat(spark):
+    rows = [(1, "start " + "der " * 400 + "end"), (2, "other " + "der " * 300 + "close")]
+    got = {r["doc_id"]: len(r["text"].split()) for r in span_dedup.remove_repeats(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] < 402 and got[2] < 150
+
+
 def test_spans_of_nothing(spark):
     assert span_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
