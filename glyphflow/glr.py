@@ -92,6 +92,7 @@ class Parser:
         #: Symbols that some rule lets follow a symbol directly, what those begin with included.
         self.after: dict[str, set[str]] = defaultdict(set)
         begins = self._begins()
+        self.follow = self._follows(begins)
         for r, rule in enumerate(self.rules):
             for left, right in zip(rule.rhs, rule.rhs[1:], strict=False):
                 self.after[left] |= begins.get(right, {right})
@@ -102,6 +103,20 @@ class Parser:
             for i, symbol in enumerate(rule.rhs):
                 self.before[symbol].append((r, rule.rhs[:i][::-1]))
 
+    def _follows(self, begins: dict[str, set[str]]) -> dict[str, set[str]]:
+        """For each symbol, what may stand after it in some parse."""
+        follow: dict[str, set[str]] = defaultdict(set)
+        changed = True
+        while changed:
+            changed = False
+            for rule in self.rules:
+                for i, symbol in enumerate(rule.rhs):
+                    more = begins.get(rule.rhs[i + 1], {rule.rhs[i + 1]}) if i + 1 < len(rule.rhs) else follow[rule.name]
+                    if not more <= follow[symbol]:
+                        follow[symbol] |= more
+                        changed = True
+        return follow
+
     def _begins(self) -> dict[str, set[str]]:
         """For each rule name, itself and every symbol that may stand first in it."""
         first: dict[str, set[str]] = defaultdict(set)
@@ -117,7 +132,11 @@ class Parser:
         return first
 
     def __call__(self, tokens: list[Token], source_length: int, snapshot_every: int = 0, resume: tuple | None = None, label: bool = False) -> ParseResult:
-        return _Run(self, tokens, source_length, snapshot_every, resume, label).result
+        run = _Run(self, tokens, source_length, snapshot_every, resume, label)
+        if not run.result.success_full and not self.prefixes:
+            # The longest parse of a prefix needs reductions that the next token speaks against.
+            run = _Run(self, tokens, source_length, snapshot_every, resume, label, by_next=False)
+        return run.result
 
 
 class Forest:
@@ -147,7 +166,9 @@ class Forest:
 
 
 class _Run:
-    def __init__(self, parser: Parser, tokens: list[Token], source_length: int, snapshot_every: int, resume, label: bool):
+    def __init__(self, parser: Parser, tokens: list[Token], source_length: int, snapshot_every: int, resume, label: bool, by_next: bool = True):
+        """by_next: reduce only to what the next token may follow."""
+        self.by_next = by_next and not parser.prefixes
         self.p, self.tokens, self.label = parser, tokens, label
         self.result = ParseResult()
         self.next_number = 1
@@ -253,7 +274,8 @@ class _Run:
         stack = f.push(t.type, f.shifted[key], path.stack)
         return self._fork(path, stack=stack, position=path.position + 1, last_start=t.start, score=path.score * SHIFT_FACTOR, last_token=k, depth=path.depth + 1)
 
-    def _reductions(self, path: Path, context: str, at_end: bool) -> list[Path]:
+    def _reductions(self, path: Path, context: str, next_type: str | None) -> list[Path]:
+        """What the path's top reduces to; next_type is None at the end of input."""
         stacks = self.forest.stacks
         if not path.stack:
             return []
@@ -264,7 +286,13 @@ class _Run:
         out = []
         for r in sorted(tried):
             rule = self.p.rules[r]
-            if len(rule.rhs) > depth or (not at_end and rule.name in self.p.roots):
+            if len(rule.rhs) > depth:
+                continue
+            if rule.name in self.p.roots:
+                # A root is nothing's part, so it stands for the whole stack or leads nowhere.
+                if next_type is not None or (len(rule.rhs) < depth and not self.p.prefixes):
+                    continue
+            elif self.by_next and next_type is not None and next_type not in self.p.follow[rule.name]:
                 continue
             if self._top(path.stack, rule.rhs[::-1]) and self._allowed(rule, context):
                 out.append(self._reduce(path, r))
@@ -300,7 +328,7 @@ class _Run:
         for _ in range(2 * len(self.tokens) + 16):
             reduced: list[Path] = []
             for state in wave:
-                shifted, less = self._shift(state, k), self._reductions(state, t.context, False)
+                shifted, less = self._shift(state, k), self._reductions(state, t.context, t.type)
                 reduced += less
                 if shifted:
                     out.append(shifted)
@@ -342,7 +370,7 @@ class _Run:
             onward, moved = [], False
             for p in paths:
                 key = (p.position, p.stack)
-                less = [] if key in seen else self._reductions(p, context, True)
+                less = [] if key in seen else self._reductions(p, context, None)
                 seen.add(key)
                 onward += less or [p]
                 moved |= bool(less)

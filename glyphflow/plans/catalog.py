@@ -37,3 +37,9 @@ def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def dealt(rows: DataFrame) -> DataFrame:
+    """Grouped rows before work that is heavy by row: AQE would join them into as few parts as their bytes fill."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

@@ -12,7 +12,7 @@ from glyphflow.ml import features, train
 from glyphflow.operators import grammar_relations as R
 from glyphflow.operators import graph, parse, select, stats, symbols
 from glyphflow.operators import lex as L
-from glyphflow.plans.catalog import register, table, texts
+from glyphflow.plans.catalog import dealt, register, table, texts
 from glyphflow.plans.queries_lex import KEYWORDS, PROPS
 from glyphflow.rules import compile_rule
 from glyphflow.streaming import session
@@ -35,7 +35,7 @@ Grammar: Lists
 def _sums(spark, sf):
     """One sum for each order: its lines' quantities, in line order."""
     lines = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", F.col("l_quantity").cast("int").cast("string").alias("q")))).alias("x"))
-    return lines.select("l_orderkey", F.array_join(F.transform("x", lambda v: v["q"]), "+").alias("text"))
+    return dealt(lines.select("l_orderkey", F.array_join(F.transform("x", lambda v: v["q"]), "+").alias("text")))
 
 
 _SUM_SQL = "s AS (SELECT l_orderkey, count(*) AS n, sum(strlen(CAST(CAST(l_quantity AS INTEGER) AS VARCHAR))) + count(*) - 1 AS bytes FROM lineitem GROUP BY 1)"
