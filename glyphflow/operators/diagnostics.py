@@ -37,10 +37,11 @@ def parse_diagnostics(text: str, name: str, lexed, tokens, result, where) -> lis
     out = []
     if not lexed.completed:
         out.append(_row("LX1002" if lexed.stalled else "LX1001", text, name, where.char(max(lexed.unmatched, 0)), max(lexed.unmatched, 0)))
-    if tokens and not result.parses:
-        at = result.failed_at
-        token = tokens[at] if at >= 0 else tokens[0]
-        out.append(_row("PS2001", text, name, where.char(token.start), token.start, f"at {token.type}" if at >= 0 else ""))
+    if tokens and not result.success_full:
+        # Where the last path died; the last token if the input ended too soon.
+        token = tokens[result.failed_at]
+        hint = f"at {token.type}" + (", after a parse of what comes before" if result.success_prefix else "")
+        out.append(_row("PS2001", text, name, where.char(token.start), token.start, hint))
     return out
 
 

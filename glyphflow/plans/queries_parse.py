@@ -82,12 +82,12 @@ def parse_many_files(spark, sf):
     return parse.summary(parse.parse(texts(spark, sf, "events"), PROPS, "event_id", "props"))
 
 
-@register("parse_diagnostics", "SELECT n_nationkey, 'PS2001' AS code, 1 AS line, 1 AS \"column\", n_name AS source_line FROM nation WHERE regexp_matches(n_name, '^[A-Za-z]+$')")
+@register("parse_diagnostics", "SELECT p_partkey, 'PS2001' AS code, 1 AS line, CAST(strpos(p_name, ' ') + 1 AS INTEGER) AS \"column\", p_name AS source_line FROM part")
 def parse_diagnostics(spark, sf):
-    """Names lex, but a lone word is no assignment."""
-    grammar = read_grammar("<WORD> ::= /[a-zA-Z]+/\n<SET> ::= '='\n<start> ::= <WORD> <SET> <WORD>")
-    forest = parse.parse(table(spark, sf, "nation").where(F.col("n_name").rlike("^[A-Za-z]+$")), grammar, "n_nationkey", "n_name")
-    return parse.diagnostics(forest, "n_nationkey").select("n_nationkey", "code", "line", "column", "source_line")
+    """Names lex, but two words are no assignment: the parse fails at the second."""
+    grammar = read_grammar("<WORD> ::= /[a-z]+/\n<SET> ::= '='\n<start> ::= <WORD> <SET> <WORD>")
+    forest = parse.parse(texts(spark, sf, "part"), grammar, "p_partkey", "p_name")
+    return parse.diagnostics(forest, "p_partkey").select("p_partkey", "code", "line", "column", "source_line")
 
 
 @register("parse_ambiguous_lexing", "SELECT p_partkey, true AS success_full, CAST(CASE WHEN p_name LIKE '% ring' THEN 2 ELSE 1 END AS INTEGER) AS n_parses, p_name LIKE '% ring' AS ambiguous FROM part")
