@@ -234,23 +234,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts without words (null and empty ones too) have fingerprint zero and link like any other. A null id never names
     a component unless all ids in it are null. Repeated rows are rows of one component. No rows give no rows.
     """
+    out = _grouped(docs, id_col, text_col, words, radius, seed)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, seed: int) -> DataFrame:
+    """doc_id, print, root (the group's smallest print), component_id for each input row."""
     prints = settled(fingerprints(docs, id_col, text_col, words, seed))
     distinct = settled(prints.groupBy("print").agg(F.min("doc_id").alias("low")))
     roots = components(fingerprint_links(distinct.select("print"), radius))
     rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "low", F.coalesce("root", "print").alias("root"))
     rooted = settled(rooted)
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(low, "root").select(F.col("print").alias("p"), "component_id")
-    out = prints.join(named, prints["print"] == named["p"])
-    return out.select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(low, "root").select(F.col("print").alias("p"), "root", "component_id")
+    return prints.join(named, prints["print"] == named["p"]).select("doc_id", "print", "root", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """The input's rows with one of each near-duplicate group: the smallest id; of rows that share it, one.
 
-    Rows with a null id stay only where a whole group has no id, and then one of them.
+    A row without an id stays only where its whole group has none, and then one of them. The columns are the input's.
     """
-    groups = near_groups(docs, id_col, text_col, **how)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    rows = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["doc_id"]), "left_semi")
-    return rows.dropDuplicates([id_col])
+    groups = _grouped(docs, id_col, text_col, words, radius, seed)
+    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
+    # One exchange by id serves the join and the choice among rows that share an id.
+    named = docs.where(F.col(id_col).isNotNull()).repartition(F.col(id_col))
+    named = named.join(kept, named[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col])
+    alone = groups.where(F.col("component_id").isNull()).select(F.col("print").alias("__p"), F.col("root").alias("__root")).distinct()
+    nameless = _printed(docs.where(F.col(id_col).isNull()), text_col, words, seed)
+    nameless = nameless.join(alone, nameless["__print"] == alone["__p"]).dropDuplicates(["__root"]).select(*docs.columns)
+    return named.unionByName(nameless)
+
+
+def _printed(docs: DataFrame, text_col: str, words: int, seed: int) -> DataFrame:
+    """The rows with their fingerprint as __print."""
+    at, names = docs.columns.index(text_col), docs.columns
+
+    def run(batches):
+        for part in slices(batches):
+            prints = np.array([fingerprint(t, words, seed) for t in part.column(at).to_pylist()], np.uint64)
+            yield pa.record_batch([*part.columns, pa.array(prints.view(np.int64))], [*names, "__print"])
+
+    return docs.mapInArrow(run, docs.withColumn("__print", F.lit(0).cast("long")).schema)
