@@ -59,7 +59,8 @@ def native_tokens(docs: DataFrame, native: NativeLexer, id_col: str, text_col: s
     """
     skip = [n for _, n, s in (*native.literals, *native.classes) if s]
     keep = ~F.col("type").isin(skip) if skip else F.lit(True)
-    cut = docs.select(F.col(id_col), _cut(token_array(native, F.col(text_col))).alias("__t"))
+    # A column of its own, so that what is used more than once is computed once.
+    cut = docs.select(F.col(id_col), token_array(native, F.col(text_col)).alias("__a")).select(id_col, _cut(F.col("__a")).alias("__t"))
     rows = cut.select(id_col, F.posexplode("__t").alias("seq", "__x")).select(id_col, "seq", "__x.type", "__x.value")
     if not positions:
         return rows.where(keep)
