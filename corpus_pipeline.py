@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphflow.llm import language_id, line_dedup, mixing, packing, simhash
+from glyphflow.llm import language_id, line_dedup, mixing, near_text, packing, simhash
 from glyphflow.llm.common import crc_of_id, shared_folder
 
 #: Documents whose best language is less likely than this are rejected, like those without a letter.
@@ -39,8 +39,12 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose fingerprints, as op4 defines them, link: the one with the smallest id."""
-    return simhash.keep_one(docs)
+    """One document of each group, the one with the smallest id.
+
+    Groups are those whose fingerprints, as op4 defines them, link; of what stays, those that five-word similarity of 0.8
+    or more links, for which op4's fingerprints differ in too many bits.
+    """
+    return near_text.keep_one_similar(simhash.keep_one(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
