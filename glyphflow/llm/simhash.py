@@ -251,15 +251,17 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: in
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """The input's rows with one of each near-duplicate group: the smallest id; of rows that share it, one.
+    """The input's rows with one of each near-duplicate group: the smallest id; of rows that share it, the smallest print.
 
-    A row without an id stays only where its whole group has none, and then one of them. The columns are the input's.
+    Rows that share an id but not a group are each judged in their own. A row without an id stays only where its whole
+    group has none, and then one of them. The columns are the input's.
     """
     groups = _grouped(docs, id_col, text_col, words, radius, seed)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    # One exchange by id serves the join and the choice among rows that share an id.
-    named = docs.where(F.col(id_col).isNotNull()).repartition(F.col(id_col))
-    named = named.join(kept, named[id_col] == kept["__id"], "left_semi").dropDuplicates([id_col])
+    chosen = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.first("doc_id").alias("__id"), F.min("print").alias("__p"))
+    kept = chosen.select("__id", "__p")
+    # One exchange by id serves the join and the choice among rows that share an id and a print.
+    named = _printed(docs.where(F.col(id_col).isNotNull()), text_col, words, seed).repartition(F.col(id_col))
+    named = named.join(kept, (named[id_col] == kept["__id"]) & (named["__print"] == kept["__p"]), "left_semi").dropDuplicates([id_col, "__print"]).select(*docs.columns)
     alone = groups.where(F.col("component_id").isNull()).select(F.col("print").alias("__p"), F.col("root").alias("__root")).distinct()
     nameless = _printed(docs.where(F.col(id_col).isNull()), text_col, words, seed)
     nameless = nameless.join(alone, nameless["__print"] == alone["__p"]).dropDuplicates(["__root"]).select(*docs.columns)

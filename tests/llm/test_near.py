@@ -158,3 +158,10 @@ def test_one_word_said_often_is_a_repeat(spark):
 
 def test_spans_of_nothing(spark):
     assert span_dedup.remove_repeats(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_in_their_own_groups(spark):
+    first, second = "the same words stand here", "an altogether different text of its own"
+    rows = [(1, first), (5, first), (5, second)]
+    got = sorted(tuple(r) for r in keep_one(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == [(1, first), (5, second)]
