@@ -22,16 +22,35 @@ from pyspark.sql import types as T
 from .common import slices
 
 MIN_SENTENCES, MIN_WORDS = 2, 24
-#: Sentences of more words are cut after words whose checksum ends in three zero bits, so equal passages cut alike.
+#: Sentences of more words are cut, so that equal passages cut alike: after the word with the least checksum (the last of
+#: such) of every CUT_WINDOW words that follow each other. From its first cut to its last a passage of n words cuts the same
+#: anywhere; these are n - 2 * CUT_WINDOW + 1 words at least, so 51 words hold a whole run.
 LONG_SENTENCE = 24
-#: A piece without such a word is cut here all the same: one word said hundreds of times cuts alike anywhere.
-LONGEST_PIECE = 64
+CUT_WINDOW = 12
 #: Occurrences that a map task holds before it sends them on.
 HELD = 1 << 20
 _END = re.compile(r"[.!?]+\s+|\s*\n\s*")
 _WORD = re.compile(r"\S+\s*")
 
 
+def _cuts(words: list[str]) -> list[int]:
+    """Positions of the words after which a long sentence is cut."""
+    sums = [zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) for w in words]
+    out, low = [], -1
+    for end in range(CUT_WINDOW - 1, len(sums)):
+        start = end - CUT_WINDOW + 1
+        if low < start:
+            low = start
+            for k in range(start + 1, end + 1):
+                if sums[k] <= sums[low]:
+                    low = k
+        elif sums[end] <= sums[low]:
+            low = end
+        if not out or out[-1] != low:
+            out.append(low)
+    return out
+
+
 def sentences(text: str) -> list[tuple[int, int, str, int]]:
     """(start, end, key, words) of the sentences; together they are the whole text."""
     out, at = [], 0
@@ -43,13 +62,14 @@ def sentences(text: str) -> list[tuple[int, int, str, int]]:
         if len(words) <= LONG_SENTENCE:
             out.append((at, end, " ".join(words).lower(), len(words)))
         else:
-            start, own = at, []
-            for m in _WORD.finditer(text, at, end):
-                own.append(m.group().strip())
-                if (zlib.crc32(own[-1].lower().encode("utf-8", "surrogatepass")) & 7 == 0 or len(own) >= LONGEST_PIECE) and m.end() < end:
-                    out.append((start, m.end(), " ".join(own).lower(), len(own)))
-                    start, own = m.end(), []
+            found = [(m.end(), m.group().strip()) for m in _WORD.finditer(text, at, end)]
+            start, first = at, 0
+            for last in _cuts([w for _, w in found]):
+                own = [w for _, w in found[first : last + 1]]
+                out.append((start, found[last][0], " ".join(own).lower(), len(own)))
+                start, first = found[last][0], last + 1
             if start < end:
+                own = [w for _, w in found[first:]]
                 out.append((start, end, " ".join(own).lower(), len(own)))
         at = end
     return out

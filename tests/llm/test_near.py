@@ -165,3 +165,17 @@ def test_rows_that_share_an_id_are_judged_in_their_own_groups(spark):
     rows = [(1, first), (5, first), (5, second)]
     got = sorted(tuple(r) for r in keep_one(spark.createDataFrame(rows, DOCS)).collect())
     assert got == [(1, first), (5, second)]
+
+
+def test_passages_of_51_words_in_running_text_hold_a_run():
+    rng = random.Random(12)
+    vocabulary = [f"v{k}" for k in range(3000)]
+    for n in (51, 52, 60, 80):
+        for _ in range(150):
+            passage = rng.choices(vocabulary, k=n)
+            texts = [" ".join([*rng.choices(vocabulary, k=rng.randint(30, 90)), *passage, *rng.choices(vocabulary, k=rng.randint(30, 90))]) for _ in range(2)]
+            keys = []
+            for t in texts:
+                parts = span_dedup.sentences(t)
+                keys.append({tuple(p[2] for p in parts[a : b + 1]) for a, b in span_dedup.runs(parts, span_dedup.MIN_SENTENCES, span_dedup.MIN_WORDS)})
+            assert keys[0] & keys[1], n
