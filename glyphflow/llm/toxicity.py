@@ -49,8 +49,11 @@ class Trie:
                 node = node.setdefault(c, {})
             node.setdefault("", []).append((number, entry.endswith("*")))
 
-    def match(self, token: str) -> list[tuple[int, int]]:
-        """(entry, edits) for each entry that the token spells within the entry's edits; beginnings match exactly."""
+    def match(self, token: str, keep_first: bool = True) -> list[tuple[int, int]]:
+        """(entry, edits) for each entry that the token spells within the entry's edits; beginnings match exactly.
+
+        keep_first: only entries that begin with the token's first letter.
+        """
         n = len(token)
         most = allowed_edits(n + 1)
         at: dict[str, int] = defaultdict(int)
@@ -82,8 +85,7 @@ class Trie:
                         # an extra letter in the entry, another letter, an extra letter in the token
                         reach |= state[k - 1] | state[k - 1] << 1 | step[k - 1] << 1
                     step.append(reach & (end << 1) - 1)
-                # Misspellings keep the first letter, so the root's other edges need none.
-                if step[-1] and (depth or (n and token[0] == c)):
+                if step[-1] and (depth or not keep_first or (n and token[0] == c)):
                     stack.append((below, step, depth + 1))
         return list(best.items())
 
@@ -104,7 +106,7 @@ class Heads(dict):
     @staticmethod
     def _near(head: str, entry: str) -> bool:
         word = entry.rstrip("*")
-        if not head or head[0] != word[0]:
+        if not head:
             return False
         if entry.endswith("*"):
             n = min(len(head), len(word))
@@ -178,27 +180,40 @@ def cover(found: list[set[str]], weight: dict[str, float], entries: int = ENTRIE
 class Judge:
     def __init__(self, entries: list[str]):
         self.trie = Trie(entries)
-        self.heads = Heads(entries)
+        self._filter()
         self.harmless: set[str] = set()
         self.context: dict[str, float] = {}
         self.weights = np.array([-3.0, 3.0, 1.0, -1.0, 0.0, 0.0])
         self.memo: dict[str, int] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": {}, "heads": None}
+        return {**self.__dict__, "memo": {}, "heads": None, "tails": None}
 
     def __setstate__(self, state):
-        self.__dict__ = {**state, "heads": Heads(state["trie"].entries)}
+        self.__dict__ = state
+        self._filter()
+
+    def _filter(self) -> None:
+        entries = self.trie.entries
+        words = [e for e in entries if not e.endswith("*")]
+        self.heads = Heads(entries)
+        # A token near a whole word ends like it, read backwards; beginnings say nothing of the end.
+        self.tails = Heads([w[::-1] for w in words])
+        self.beginnings = tuple(e.rstrip("*") for e in entries if e.endswith("*"))
+        # What lies further than this can't change which entries a token spells.
+        self.enough = max(map(len, entries), default=0) + 3
 
     def edits(self, token: str) -> int:
         """Least edits to an entry; -1 for no entry."""
         if not self.heads[token[:HEAD]]:
             return -1
+        token = token[: self.enough]
         got = self.memo.get(token)
         if got is None:
             if len(self.memo) > _MEMO:
                 self.memo.clear()
-            got = -1 if len(token) > MAX_TOKEN else min((k for _, k in self.trie.match(token)), default=-1)
+            likely = token.startswith(self.beginnings) or self.tails[token[: -HEAD - 1 : -1]]
+            got = min((k for _, k in self.trie.match(token, keep_first=False)), default=-1) if likely else -1
             if got > 0 and token in self.harmless:
                 got = -1
             self.memo[token] = got

@@ -101,6 +101,24 @@ def test_automaton_agrees_with_edit_distance():
         assert dict(trie.match(t)) == want, t
 
 
+def test_judge_agrees_with_plain_edit_distance():
+    rng = random.Random(10)
+    entries = ["idiot", "stupid", "scum", "worthless", "disgusting", "aab", "abababab", "lowei*"]
+    judge = toxicity.Judge(entries)
+    tokens = ["1diot", "ldiot", "tupid", "diot", "xstupid", "orthless", "", "a", "lowei" + "x" * 60, "plowei", "idiot" + "x" * 60]
+    for e in entries * 150:
+        t = list(e.rstrip("*"))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.choice([0, rng.randrange(len(t) + 1)])
+            t[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "1"])
+        tokens.append("".join(t))
+    for t in tokens:
+        within = [d for e in entries[:-1] if (d := edits(t, e)) <= min(toxicity.allowed_edits(len(e)), toxicity.allowed_edits(len(t) + 1))]
+        want = min([*within, *[0] * t.startswith("lowei")], default=-1)
+        assert judge.edits(t) == want, t
+    assert [judge.edits(t) for t in tokens[:4]] == [1, 1, 1, 1] and judge.edits(tokens[8]) == 0
+
+
 def test_heads_reject_no_token_that_matches():
     rng = random.Random(9)
     entries = ["idiot", "scum", "worthless", "lowei*", "aab", "abababab"]
