@@ -42,11 +42,25 @@ def available_encodings() -> list[str]:
     return sorted({n for n in map(_codec, aliases.values()) if n and not n.endswith("_codec") and n not in ("rot13", "hex", "base64", "bz2", "zlib", "uu", "quopri")})
 
 
+def decode_bytes(data: bytes) -> str:
+    """Bytes as text, in the encoding that their byte-order mark names; the mark is left out, malformed parts are U+FFFD."""
+    head = data[:4].hex().upper()
+    mark, name = next(((m, e) for m, e in MARKS if head.startswith(m)), ("", "UTF-8"))
+    return data[len(mark) // 2 :].decode(name, "replace")
+
+
 def convert(data: Column, encoding: str | int) -> Column:
-    """Bytes in a named encoding, or a code page by number, as text; what can't be read becomes U+FFFD."""
+    """Bytes in a named encoding, or a code page by number, as text; what can't be read becomes U+FFFD.
+
+    UTF-8, ASCII's and Latin-1's bytes are read in the JVM, others in Arrow batches.
+    """
     name = _codec(f"cp{encoding}") if isinstance(encoding, int) else _codec(encoding)
     if name is None:
         raise ValueError(f"unknown encoding {encoding}")
+    if name == "utf-8":
+        return F.make_valid_utf8(data.cast("string"))
+    if name == "iso8859-1":
+        return F.decode(data, "ISO-8859-1")
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
@@ -56,21 +70,19 @@ def convert(data: Column, encoding: str | int) -> Column:
 
 
 def decode_with_bom(data: Column) -> Column:
-    """Bytes as text, in the encoding that their byte-order mark names; the mark is left out."""
+    """Bytes as text, in the encoding that their byte-order mark names; the mark is left out.
+
+    Only marked UTF-16 and UTF-32 leave the JVM.
+    """
+    found = detect_encoding(data)
+    plain = found["encoding"] == "UTF-8"
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        def one(b):
-            if b is None:
-                return None
-            b = bytes(b)
-            head = b[:4].hex().upper()
-            mark, name = next(((m, e) for m, e in MARKS if head.startswith(m)), ("", "UTF-8"))
-            return b[len(mark) // 2 :].decode(name, "replace")
+        return s.map(lambda b: None if b is None else decode_bytes(bytes(b)))
 
-        return s.map(one)
-
-    return run(data)
+    body = F.substring(data, found["mark_bytes"] + 1, F.octet_length(data))
+    return F.when(plain, F.make_valid_utf8(body.cast("string"))).otherwise(run(F.when(~plain, data)))
 
 
 def normalize(text: Column, form: str = "NFC") -> Column:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import re
 from dataclasses import replace
+from functools import lru_cache
 
 from glyphflow.rules import validate_pattern
 
@@ -17,10 +18,6 @@ from .model import Grammar, GrammarError, Production, Projection, TokenRule, mat
 _HEADER = re.compile(r"^(Grammar|TokenSplitter|Inherits|Inheritable|FormatType)\s*:\s*(.*)$")
 _OTHER_HEADER = re.compile(r"^[A-Z]\w*\s*:(?!:)")
 _START = re.compile(r"^<([^<>]+)>\s*::=\s*")
-_LEVEL = re.compile(r'Level(\d+):\s*\{\s*operators:\s*\[([^\]]+)\],\s*associativity:\s*"([^"]+)"\s*\}')
-_PROJECTION = re.compile(r"@context\(([^)]+)\)\s*@projection\(([^)]+)\)\s*([A-Za-z_]\w*)\s*=>\s*\{([^}]*)\}")
-_ANNOTATION = re.compile(r"^([^(]+)(?:\(([^)]*)\))?")
-_PRIORITY = re.compile(r",?\s*priority:(\d+)")
 
 # The built-in base grammars.
 BUILT_IN = {
@@ -29,12 +26,104 @@ BUILT_IN = {
 }
 
 
+class _Cursor:
+    """Reads one line from left to right; white space between parts doesn't count."""
+
+    def __init__(self, text: str, at: int = 0):
+        self.text, self.at = text, at
+
+    def _next(self) -> str:
+        while self.text[self.at : self.at + 1].isspace():
+            self.at += 1
+        return self.text[self.at : self.at + 1]
+
+    def takes(self, mark: str) -> bool:
+        self._next()
+        found = self.text.startswith(mark, self.at)
+        self.at += len(mark) * found
+        return found
+
+    def word(self) -> str:
+        """Letters, digits and underscores; empty where something else stands."""
+        self._next()
+        start = self.at
+        while (c := self.text[self.at : self.at + 1]) == "_" or c.isalnum():
+            self.at += 1
+        return self.text[start : self.at]
+
+    def inside(self, opening: str, closing: str) -> str | None:
+        """What a pair of brackets holds, pairs in it included; None where there is no such pair."""
+        if not self.takes(opening):
+            return None
+        start, depth = self.at, 1
+        while self.at < len(self.text):
+            c = self.text[self.at]
+            depth += (c == opening) - (c == closing)
+            self.at += 1
+            if not depth:
+                return self.text[start : self.at - 1].strip()
+        return None
+
+    def value(self) -> str:
+        """A quoted text without its quotes, or what stands before the next comma or bracket."""
+        c = self._next()
+        if c in ("'", '"') and (end := self.text.find(c, self.at + 1)) >= 0:
+            out, self.at = self.text[self.at + 1 : end], end + 1
+            return out
+        start = self.at
+        while self.text[self.at : self.at + 1] not in ("", ",", "]", "}"):
+            self.at += 1
+        return self.text[start : self.at].strip()
+
+    def values(self) -> list[str]:
+        """A value, or all of a list in square brackets."""
+        if not self.takes("["):
+            return [self.value()]
+        out = []
+        while self._next() and not self.takes("]"):
+            if not self.takes(","):
+                out.append(self.value())
+        return out
+
+
 def annotated(name: str) -> tuple[str, str, int]:
     """``name (context, priority:n)`` -> name, context, priority."""
-    m = _ANNOTATION.match(name)
-    inside = (m[2] or "").strip()
-    priority = _PRIORITY.search(inside)
-    return m[1].strip(), _PRIORITY.sub("", inside).strip(), int(priority[1]) if priority else 0
+    plain, _, notes = name.partition("(")
+    context, priority = [], 0
+    for note in notes.rpartition(")")[0].split(","):
+        key, colon, n = (x.strip() for x in note.partition(":"))
+        if key == "priority" and colon and n.isdigit():
+            priority = int(n)
+        elif note.strip():
+            context.append(note.strip())
+    return plain.strip(), ", ".join(context), priority
+
+
+def _level(line: str) -> tuple[int, list[str], str] | None:
+    """``LevelN: { operators: [...], associativity: "..." }``: the level, its operators and their associativity."""
+    cursor = _Cursor(line)
+    key = cursor.word()
+    number = key.removeprefix("Level")
+    if key == number or not number.isdigit() or not cursor.takes(":") or not cursor.takes("{"):
+        return None
+    fields: dict[str, list[str]] = {}
+    while (name := cursor.word()) and cursor.takes(":"):
+        fields[name] = cursor.values()
+        cursor.takes(",")
+    if not fields.get("operators") or not fields.get("associativity"):
+        return None
+    return int(number), fields["operators"], fields["associativity"][0]
+
+
+def _projection(line: str) -> Projection | None:
+    """``@context(c) @projection(pattern) rule => { code }`` on one line, whatever stands before it."""
+    at = line.find("@context")
+    cursor = _Cursor(line, max(at, 0))
+    context = cursor.inside("(", ")") if cursor.takes("@context") else None
+    pattern = cursor.inside("(", ")") if context and cursor.takes("@projection") else None
+    rule = cursor.word() if pattern else ""
+    code = cursor.inside("{", "}") if rule and not rule[0].isdigit() and cursor.takes("=>") else None
+    return None if code is None else Projection(rule, context, pattern, code)
 
 
 def split_action(text: str) -> tuple[str, str]:
@@ -119,11 +208,34 @@ def _one_regex(text: str) -> bool:
     return False
 
 
-def read_grammar(text: str, bases: dict[str, str] | None = None, strict: bool | None = None, inherit: bool = True) -> Grammar:
+def read_grammar_file(path: str, bases: dict[str, str] | None = None, strict: bool = False) -> Grammar:
+    """The grammar of a file, decoded by its byte-order mark (UTF-8 without one).
+
+    Without bases a file is read once for each of its versions: while its size and time stay, the same rules come back.
+    """
+    if bases:
+        return read_grammar(_file_text(path), bases, strict)
+    stat = os.stat(path)
+    return _read_once(path, stat.st_mtime_ns, stat.st_size, strict).copy()
+
+
+@lru_cache(maxsize=256)
+def _read_once(path: str, changed: int, size: int, strict: bool) -> Grammar:
+    return read_grammar(_file_text(path), strict=strict)
+
+
+def _file_text(path: str) -> str:
+    from glyphflow.functions.text import decode_bytes
+
+    with open(path, "rb") as file:
+        return decode_bytes(file.read())
+
+
+def read_grammar(text: str, bases: dict[str, str] | None = None, strict: bool = False, inherit: bool = True) -> Grammar:
     """The grammar of a text.
 
-    bases names further grammars that may be inherited. strict refuses undefined nonterminals (default: where the
-    environment says GRAMMAR_VALIDATION_MODE=strict); otherwise they are noted, as are patterns that never match.
+    bases names further grammars that may be inherited. strict refuses undefined nonterminals; otherwise they are noted,
+    as are patterns that never match.
     """
     grammar = Grammar()
     lines = [x for x in text.splitlines() if not x.lstrip().startswith("#")]
@@ -142,9 +254,8 @@ def read_grammar(text: str, bases: dict[str, str] | None = None, strict: bool |
                 grammar.format_type = value
     _precedence(lines, grammar)
     for line in lines:
-        if m := _PROJECTION.search(line):
-            context, pattern, rule, code = (x.strip() for x in m.groups())
-            grammar.projections[rule, context] = Projection(rule, context, pattern, code)
+        if found := _projection(line):
+            grammar.projections[found.rule_name, found.context] = found
     statements = _statements(lines)
     productions = []
     for name, body in statements:
@@ -171,7 +282,7 @@ def read_grammar(text: str, bases: dict[str, str] | None = None, strict: bool |
         grammar = _inherited(grammar, bases or {}, (grammar.name,))
     missing = grammar.undefined()
     if missing:
-        if strict if strict is not None else os.environ.get("GRAMMAR_VALIDATION_MODE", "").lower() == "strict":
+        if strict:
             raise GrammarError(f"GR3003: undefined nonterminals: {', '.join(missing)}")
         grammar.notes.append(f"GR3003: undefined nonterminals: {', '.join(missing)}")
     return grammar
@@ -200,10 +311,10 @@ def _precedence(lines: list[str], grammar: Grammar) -> None:
             inside = True
         elif inside and (not line or line.startswith("}")):
             inside = False
-        elif inside and (m := _LEVEL.search(line)):
-            for op in (x.strip().strip('"') for x in m[2].split(",")):
-                grammar.precedence[op] = int(m[1])
-                grammar.associativity[op] = m[3]
+        elif inside and (found := _level(line)):
+            level, operators, associativity = found
+            grammar.precedence.update(dict.fromkeys(operators, level))
+            grammar.associativity.update(dict.fromkeys(operators, associativity))
 
 
 def _inherited(grammar: Grammar, bases: dict[str, str], seen: tuple[str, ...]) -> Grammar:
