@@ -2,8 +2,10 @@
 
 Pieces are dealt evenly into shards of at most ``SHARD_PIECES`` rows, each packed by one task. Within a shard the large
 lengths are sorted and cut into groups of equal cardinality, and each is rounded up to its group's largest. Over the few
-sizes left, configurations (which sizes a sequence holds) are searched for the fullest, each used as often as it can be.
-Their places are filled with actual pieces, and the room that rounding left goes, best fit first, to the small pieces.
+sizes left, configurations (which sizes a sequence holds) are optimised twice: a search for the fullest, and the linear
+program over all configurations by column generation from there, rounded down, its rest searched again. Their places are
+filled with actual pieces, and the room that rounding left goes, best fit first, to the small pieces; the set of
+configurations that ends in fewer sequences stands.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ SHARD_PIECES = 1 << 16
 GROUPS = 512
 #: Lengths of at most this part of the capacity count as small.
 SMALL_PART = 4
+#: Columns that the linear program of a shard may take in.
+LP_STEPS, SEED = 4_000, 3
 
 
 def default_tokenizer() -> str:
@@ -39,19 +43,26 @@ class Encoder:
     """Ids as the vocabulary file's own library gives them.
 
     A byte-level vocabulary whose ids follow the order of its merges is read into the faster merging library, which
-    then gives the same ids; any other file is left to its own library.
+    then gives the same ids; any other file, and any text in which one of the file's added tokens is written out, is left
+    to its own library.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.own = Tokenizer.from_file(path)
-        self.own.encode_special_tokens = True
-        self.fast = _merged_by_rank(json.loads(self.own.to_str()))
+        spec = json.loads(self.own.to_str())
+        self.fast = _merged_by_rank(spec)
+        self.added = [t["content"] for t in spec.get("added_tokens", []) if t["content"]]
 
     def __call__(self, texts: list[str]) -> list[list[int]]:
-        if self.fast is not None:
-            return [self.fast.encode_ordinary(t) for t in texts]
+        if self.fast is None:
+            return self._own(texts)
+        out = [None if any(a in t for a in self.added) else self.fast.encode_ordinary(t) for t in texts]
+        left = iter(self._own([t for t, ids in zip(texts, out, strict=True) if ids is None]))
+        return [next(left) if ids is None else ids for ids in out]
+
+    def _own(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.own.encode_batch_fast(texts, add_special_tokens=False)]
 
 
@@ -179,6 +190,78 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return out
 
 
+def _priced(sizes: np.ndarray, price: np.ndarray, capacity: int) -> tuple[float, list[int]]:
+    """The configuration of up to three sizes that is worth most, and its worth; sizes fall."""
+    worth = np.maximum(price, 0.0)
+    # one[r]: the best single size up to r; m stands for none.
+    m = len(sizes)
+    one, at = np.zeros(capacity + 1), np.full(capacity + 1, m)
+    one[sizes], at[sizes] = worth, np.arange(m)
+    best = np.maximum.accumulate(one)
+    at = at[np.maximum.accumulate(np.where(one == best, np.arange(capacity + 1), 0))]
+    rest = capacity - sizes
+    room = rest[:, None] - sizes[None, :]
+    two = np.where(room >= 0, worth[None, :] + best[np.maximum(room, 0)], -1.0)
+    second = two.argmax(1)
+    two = two[np.arange(m), second]
+    three = worth + np.maximum(two, 0.0)
+    first = int(three.argmax())
+    picked = [first]
+    if two[first] >= 0:
+        j = int(second[first])
+        picked += [j, int(at[room[first, j]])]
+    return float(three[first]), [p for p in picked if p < m]
+
+
+def optimised(sizes: np.ndarray, demand: np.ndarray, capacity: int, steps: int = LP_STEPS) -> list[tuple[list[int], int]]:
+    """Configurations of the linear program that meets the demand with the fewest sequences, rounded down; the rest by search.
+
+    Sizes fall and lie above capacity / SMALL_PART, so a configuration holds at most three. The basis starts with what the
+    search finds, a column for each size it uses up; columns enter while one is worth more than a sequence. After
+    ``steps`` columns the program stands as it is, which is still a valid packing.
+    """
+    m = len(sizes)
+    alone = [[i] * (capacity // int(sizes[i])) for i in range(m)]
+    columns, left = list(alone), demand.astype(np.int64).copy()
+    for picked, times in configurations(sizes, demand, capacity):
+        left -= np.bincount(picked, minlength=m) * times
+        if (spent := next((i for i in picked if not left[i]), -1)) >= 0:
+            columns[spent] = picked
+    # A little more of each size than is asked for keeps the steps from going in circles.
+    asked = demand + np.random.default_rng(SEED).uniform(1e-7, 2e-7, m)
+    for columns in (columns, alone):
+        base = np.stack([np.bincount(c, minlength=m) for c in columns], 1).astype(float)
+        inverse = np.linalg.pinv(base) if np.linalg.matrix_rank(base) < m else np.linalg.inv(base)
+        amount = inverse @ asked
+        if amount.min() >= 0 and np.allclose(base @ amount, asked):
+            break
+    for _ in range(steps):
+        worth, picked = _priced(sizes, inverse.sum(0), capacity)
+        if worth <= 1 + 1e-7:
+            break
+        enters = np.bincount(picked, minlength=m).astype(float)
+        change = inverse @ enters
+        falls = change > 1e-9
+        if not falls.any():
+            break
+        ratio = np.where(falls, amount / np.where(falls, change, 1.0), np.inf)
+        out = int(ratio.argmin())
+        amount = amount - ratio[out] * change
+        amount[out] = ratio[out]
+        pivot = inverse[out] / change[out]
+        inverse -= change[:, None] * pivot[None, :]
+        inverse[out] = pivot
+        columns[out] = picked
+    found, left = [], demand.astype(np.int64).copy()
+    for picked, x in zip(columns, amount.tolist(), strict=True):
+        need = np.bincount(picked, minlength=m)
+        times = min(int(x + 1e-5), int((left[need > 0] // need[need > 0]).min()))
+        if times > 0:
+            found.append((picked, times))
+            left -= need * times
+    return found + configurations(sizes, left, capacity)
+
+
 class _Rooms:
     """Sequences by the room they have left."""
 
@@ -204,39 +287,48 @@ class _Rooms:
 
 def pack_lengths(lengths: np.ndarray, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, np.ndarray]:
     """(sequence, offset) of each length; lengths are 1 to capacity."""
-    n = len(lengths)
-    sequence, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     order = np.argsort(-lengths, kind="stable")
     ranked = lengths[order]
     full = int(np.searchsorted(-ranked, -(capacity - 1), side="left"))
+    large = int(np.searchsorted(-ranked, -(capacity // SMALL_PART), side="left"))
+    if large == full:
+        return _placed(lengths, order, full, large, [], [], capacity)[1:]
+    sizes, members = group_sizes(ranked[full:large], groups)
+    demand = np.array([len(m) for m in members])
+    found = [_placed(lengths, order, full, large, how(sizes, demand, capacity), members, capacity) for how in (configurations, optimised)]
+    return min(found, key=lambda x: x[0])[1:]
+
+
+def _placed(lengths: np.ndarray, order: np.ndarray, full: int, large_end: int, chosen: list[tuple[list[int], int]], members: list[np.ndarray], capacity: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Sequences used, and where each length goes: full ones alone, large ones by configuration, then best fit."""
+    n = len(lengths)
+    sequence, offset = np.full(n, -1, np.int64), np.zeros(n, np.int64)
     sequence[order[:full]] = np.arange(full)
     count = full
-    large_end = int(np.searchsorted(-ranked, -(capacity // SMALL_PART), side="left"))
-    large, rest = order[full:large_end], [*order[large_end:].tolist()]
     rooms = _Rooms(capacity)
-    if len(large):
-        sizes, members = group_sizes(lengths[large], groups)
-        taken = [0] * len(sizes)
-        lens = lengths.tolist()
-        for slots, times in configurations(sizes, np.array([len(m) for m in members]), capacity):
-            for _ in range(times):
-                at = 0
-                for g in slots:
-                    item = int(large[members[g][taken[g]]])
-                    taken[g] += 1
-                    sequence[item], offset[item] = count, at
-                    at += lens[item]
-                if at < capacity:
-                    rooms.put(capacity - at, count)
-                count += 1
-    for item, length in zip(rest, lengths[rest].tolist() if rest else [], strict=True):
+    large, lens = order[full:large_end].tolist(), lengths.tolist()
+    taken = [0] * len(members)
+    places = [m.tolist() for m in members]
+    for slots, times in chosen:
+        for _ in range(times):
+            at = 0
+            for g in slots:
+                item = large[places[g][taken[g]]]
+                taken[g] += 1
+                sequence[item], offset[item] = count, at
+                at += lens[item]
+            if at < capacity:
+                rooms.put(capacity - at, count)
+            count += 1
+    for item in order[large_end:].tolist():
+        length = lens[item]
         room, where = rooms.best(length) or (capacity, -1)
         if where < 0:
             where, count = count, count + 1
         sequence[item], offset[item] = where, capacity - room
         if room > length:
             rooms.put(room - length, where)
-    return sequence, offset
+    return count, sequence, offset
 
 
 def _packer(capacity: int, groups: int):
