@@ -3,9 +3,9 @@
 Distinct fingerprints meet in buckets that share 3 of 5 bit fields; two fingerprints that differ in at most 2 bits
 agree in at least 3 fields, so no link is lost. Inside a task the sorted buckets are compared vertically: bit plane p
 of all fingerprints is one long integer, a shift lines every fingerprint up with its s-th neighbour, and the planes'
-differences run into carry-save counters that hold all distances at once. A comparison is abandoned as soon as every
-lane exceeds the radius. Large buckets are first divided by further fields, again without losing a link. Only a
-spanning forest of the links leaves a task.
+differences run into carry-save counters that hold all distances at once. Buckets of like size form blocks, and a
+block's comparison is abandoned as soon as every lane exceeds the radius. Large buckets are first divided by further
+fields, again without losing a link. Only a spanning forest of the links leaves a task.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .choose import one_of_each
 from .common import settled, slices
 from .components import components
 
@@ -25,6 +26,10 @@ BITS, RADIUS, SHINGLE, SEED = 64, 2, 3, 42
 FIELDS = 5
 #: Buckets beyond this are divided by further fields.
 DIVIDE_BEYOND = 512
+#: Lanes of a block, if no bucket is larger.
+BLOCK = 1 << 12
+#: Fingerprints of more than this part of the rows are joined by broadcast; there are fewer than its inverse.
+HEAVY = 1 / 512
 _CHUNK = 1 << 15
 
 
@@ -149,15 +154,21 @@ def links_in_buckets(prints: np.ndarray, bucket: np.ndarray, free: list[int], ra
     in_pairs = np.repeat((size > 1) & ((size <= DIVIDE_BEYOND) | (len(free) <= radius + 1)), size)
     if not in_pairs.any():
         return out
-    prints, names = prints[in_pairs], names[in_pairs]
+    own = np.repeat(size, size)[in_pairs]
     bucket = np.repeat(np.arange(len(size)), size)[in_pairs]
-    planes = _planes(prints)
-    for shift in range(1, int(size[(size <= DIVIDE_BEYOND) | (len(free) <= radius + 1)].max())):
-        together = bucket[shift:] == bucket[:-shift]
-        near = near_lanes(planes, shift, _mask(together), radius)
-        if near:
-            i = _lanes(near, len(prints))
-            out += forest.add(names[i], names[i + shift])
+    order = np.lexsort((np.arange(len(own)), bucket, own))
+    prints, names, bucket, own = prints[in_pairs][order], names[in_pairs][order], bucket[order], own[order]
+    ends = np.flatnonzero(np.r_[bucket[1:] != bucket[:-1], True]) + 1
+    at = 0
+    while at < len(prints):
+        end = int(ends[min(int(np.searchsorted(ends, at + BLOCK)), len(ends) - 1)])
+        planes, block = _planes(prints[at:end]), bucket[at:end]
+        for shift in range(1, int(own[end - 1])):
+            near = near_lanes(planes, shift, _mask(block[shift:] == block[:-shift]), radius)
+            if near:
+                i = at + _lanes(near, end - at)
+                out += forest.add(names[i], names[i + shift])
+        at = end
     return out
 
 
@@ -188,26 +199,27 @@ def _linker(radius: int):
             a, b = (prints[np.array([p[k] for p in pairs], np.int64)].view(np.int64) for k in (0, 1))
             return pa.record_batch([pa.array(a), pa.array(b)], ["a", "b"])
 
+        def whole():
+            return (np.concatenate(x) for x in zip(*held, strict=True))
+
         for batch in batches:
             picks = batch.column(0).to_numpy()
             keys, prints = (batch.column(c).to_numpy().view(np.uint64) for c in (1, 2))
             for at, end in _runs(picks):
                 if held and pick != picks[at]:
-                    whole = [np.concatenate(x) for x in zip(*held, strict=True)]
-                    yield flush(pick, *whole)
+                    yield flush(pick, *whole())
                     held = []
                 pick = int(picks[at])
-                held.append((prints[at:end], keys[at:end]))
-            # The last bucket may go on in the next batch; what lies before it is compared now.
-            if held:
-                p, k = (np.concatenate(x) for x in zip(*held, strict=True))
+                p, k = prints[at:end], keys[at:end]
+                # The last bucket may go on in the next batch; what lies before it is compared now.
                 tail = int(np.searchsorted(k.view(np.int64), k.view(np.int64)[-1]))
-                if tail:
-                    yield flush(pick, p[:tail], k[:tail])
-                held = [(p[tail:], k[tail:])]
+                if tail or (held and held[-1][1][-1] != k[0]):
+                    held.append((p[:tail], k[:tail]))
+                    yield flush(pick, *whole())
+                    held = []
+                held.append((p[tail:], k[tail:]))
         if held:
-            p, k = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield flush(pick, p, k)
+            yield flush(pick, *whole())
 
     return run
 
@@ -241,40 +253,27 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int, radius: int, seed: int) -> DataFrame:
     """doc_id, print, root (the group's smallest print), component_id for each input row."""
     prints = settled(fingerprints(docs, id_col, text_col, words, seed))
-    distinct = settled(prints.groupBy("print").agg(F.min("doc_id").alias("low")))
+    distinct = settled(prints.groupBy("print").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     roots = components(fingerprint_links(distinct.select("print"), radius))
-    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "low", F.coalesce("root", "print").alias("root"))
+    rooted = distinct.join(roots, distinct["print"] == roots["node"], "left").select("print", "low", "n", F.coalesce("root", "print").alias("root"))
     rooted = settled(rooted)
     low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(low, "root").select(F.col("print").alias("p"), "root", "component_id")
-    return prints.join(named, prints["print"] == named["p"]).select("doc_id", "print", "root", "component_id")
+    named = settled(rooted.join(low, "root").select(F.col("print").alias("p"), "n", "root", "component_id"))
+    # A fingerprint that very many rows share is told to all tasks, so that its rows meet in none.
+    often = F.col("n") > F.lit(prints.count() * HEAVY)
+    heavy = F.broadcast(named.where(often).drop("n"))
+    same = prints["print"] == heavy["p"]
+    rest = prints.join(heavy, same, "left_anti")
+    rest = rest.join(named.where(~often).drop("n"), F.col("print") == F.col("p"))
+    return prints.join(heavy, same).unionByName(rest).select("doc_id", "print", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """The input's rows with one of each near-duplicate group: the smallest id; of rows that share it, the smallest print.
 
     Rows that share an id but not a group are each judged in their own. A row without an id stays only where its whole
-    group has none, and then one of them. The columns are the input's.
+    group has none, and then one of them. Null and empty texts are alike and form a group with all texts of fingerprint
+    zero. The columns are the input's, whatever their names; no rows give no rows.
     """
-    groups = _grouped(docs, id_col, text_col, words, radius, seed)
-    chosen = groups.where(F.col("doc_id") == F.col("component_id")).groupBy("root").agg(F.first("doc_id").alias("__id"), F.min("print").alias("__p"))
-    kept = chosen.select("__id", "__p")
-    # One exchange by id serves the join and the choice among rows that share an id and a print.
-    named = _printed(docs.where(F.col(id_col).isNotNull()), text_col, words, seed).repartition(F.col(id_col))
-    named = named.join(kept, (named[id_col] == kept["__id"]) & (named["__print"] == kept["__p"]), "left_semi").dropDuplicates([id_col, "__print"]).select(*docs.columns)
-    alone = groups.where(F.col("component_id").isNull()).select(F.col("print").alias("__p"), F.col("root").alias("__root")).distinct()
-    nameless = _printed(docs.where(F.col(id_col).isNull()), text_col, words, seed)
-    nameless = nameless.join(alone, nameless["__print"] == alone["__p"]).dropDuplicates(["__root"]).select(*docs.columns)
-    return named.unionByName(nameless)
-
-
-def _printed(docs: DataFrame, text_col: str, words: int, seed: int) -> DataFrame:
-    """The rows with their fingerprint as __print."""
-    at, names = docs.columns.index(text_col), docs.columns
-
-    def run(batches):
-        for part in slices(batches):
-            prints = np.array([fingerprint(t, words, seed) for t in part.column(at).to_pylist()], np.uint64)
-            yield pa.record_batch([*part.columns, pa.array(prints.view(np.int64))], [*names, "__print"])
-
-    return docs.mapInArrow(run, docs.withColumn("__print", F.lit(0).cast("long")).schema)
+    groups = _grouped(docs, id_col, text_col, words, radius, seed).select("doc_id", F.col("print").alias("mark"), "root")
+    return one_of_each(docs, groups, id_col, text_col, lambda text: _signed(fingerprint(text, words, seed)))
