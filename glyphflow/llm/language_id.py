@@ -7,21 +7,20 @@ regression is solved in the span of the landmarks. Scoring is two matrix product
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, slices
 
 ORDERS, DIM = (1, 2, 3), 8192
-#: Bounds of the labelled sample, of a language in it, of the languages, and of the landmarks.
-SAMPLE_ROWS, PER_LANGUAGE, MAX_LANGUAGES, LANDMARKS = 3_000, 600, 200, 160
+#: Bounds of the labelled sample and of a language in it, and the least number of landmarks.
+SAMPLE_ROWS, PER_LANGUAGE, LANDMARKS = 3_000, 600, 160
 RIDGE, SHARPNESS = 1e-3, 6.0
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _CHUNK = 1 << 16
 
 
@@ -57,7 +56,7 @@ class Model:
         # Landmarks go round the languages so that a rare one has some.
         seen: dict[str, int] = {}
         turn = [seen.__setitem__(x, seen.get(x, 0) + 1) or seen[x] for x in langs]
-        pick = sorted(range(n), key=lambda i: (turn[i], i))[:landmarks]
+        pick = sorted(range(n), key=lambda i: (turn[i], i))[: max(landmarks, 2 * len(self.langs))]
         self.points = np.unpackbits(grams[pick], axis=1).astype(np.float32)
         self.norms = np.sqrt(np.maximum(self.points.sum(1), 1))
         self.weights = np.zeros((len(pick), 0))
@@ -75,57 +74,73 @@ class Model:
         size = np.sqrt(np.maximum(x.sum(1), 1))
         return (x @ self.points.T).astype(float) / (size[:, None] * self.norms[None, :])
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The best language of each text, its share among all, and its own regression's output cut to 0 to 1."""
+        names, scores, strength = [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
         if known and self.langs:
             x = np.stack([presence(texts[i]) for i in known]).astype(np.float32)
-            z = SHARPNESS * (self.kernel(x) @ self.weights)
-            p = np.exp(z - z.max(1, keepdims=True))
+            z = self.kernel(x) @ self.weights
+            p = np.exp(SHARPNESS * (z - z.max(1, keepdims=True)))
             p /= p.sum(1, keepdims=True)
+            strength[known] = np.clip(z.max(1), 0, 1)
             for i, row in zip(known, p, strict=True):
                 names[i], scores[i] = self.langs[int(row.argmax())], float(row.max())
-        return names, scores
+        return names, scores, strength
 
 
 def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, per_language: int = PER_LANGUAGE) -> Model:
-    """A model from a bounded sample of the rows with a language: about per_language of each, sample_rows at most.
+    """A model from a bounded sample of the rows with a language: per_language of each at most, sample_rows in all.
 
-    Which rows are in the sample follows from a hash of the id, and what reaches the driver are their n-gram sets.
+    Each language's rows are ranked by a hash of the id, and the sample takes every language's first, then every
+    language's second, and so on; so no language is left out while there are at most sample_rows of them. Only ids are
+    ranked, of which a task sends per_language for each language at most; what reaches the driver are n-gram sets.
     """
     rows = train.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    rows = rows.withColumn("print", F.xxhash64("text"))
+    turn = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "id"), "id", "print")
+    ranked = rows.select("id", "lang", "print").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_language)
+    picked = ranked.orderBy("turn", F.xxhash64(F.lit(6), "id"), "lang", "id", "print").limit(sample_rows).collect()
+    if not picked:
         return Model(np.zeros((0, DIM // 8), np.uint8), [])
-    share = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    chance = F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = rows.where(chance < share[F.col("lang")]).orderBy(F.xxhash64(F.lit(6), "id"), "id").limit(sample_rows)
-    got = sample.select("text", "lang").mapInArrow(_presences, "grams binary, lang string").collect()
+    spark = train.sparkSession
+    # Bounded by sample_rows; rows that repeat id, text and language count once.
+    chosen = spark.createDataFrame([tuple(r) for r in picked], ranked.schema).dropDuplicates(["id", "lang", "print"])
+    both = rows.alias("r").join(F.broadcast(chosen.alias("c")), F.col("r.id").eqNullSafe(F.col("c.id")) & (F.col("r.print") == F.col("c.print")) & (F.col("r.lang") == F.col("c.lang")))
+    sample = both.select("c.id", "r.text", "r.lang", "c.turn", "c.print").dropDuplicates(["id", "lang", "print"])
+    got = sample.orderBy("turn", "lang", "id", "print").select("text", "lang").mapInArrow(_presences, "grams binary, lang string").collect()
     grams = np.frombuffer(b"".join(bytes(r["grams"]) for r in got), np.uint8).reshape(-1, DIM // 8)
     return Model(grams, [r["lang"] for r in got])
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The input's columns, lang_pred and score (0 to 1); columns of these names in the input are replaced.
+    """The input's columns, lang_pred, score and strength (0 to 1); columns of these names in the input are replaced.
 
-    Null text, and text without a letter, is ``und`` with score 0; so is every text where nothing was learned.
+    score is the best language's share among all that were learned, strength its own regression's output, which doesn't
+    depend on how many there are. Null text, and text without a letter (general category L), is ``und`` with 0 for both;
+    so is every text where nothing was learned. Texts are read whole, however long. Rows that repeat give equal rows;
+    an empty table gives none.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop("lang_pred", "score", "strength")
     at, names = docs.columns.index(text_col), docs.columns
     handle = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         own = handle.value
         for part in slices(batches):
-            langs, scores = own.predict(part.column(at).to_pylist())
-            yield pa.record_batch([*part.columns, pa.array(langs, pa.string()), pa.array(scores)], [*names, "lang_pred", "score"])
+            langs, scores, strength = own.predict(part.column(at).to_pylist())
+            yield pa.record_batch([*part.columns, pa.array(langs, pa.string()), pa.array(scores), pa.array(strength)], [*names, "lang_pred", "score", "strength"])
 
-    return docs.mapInArrow(run, docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).withColumn("strength", F.lit(0.0)).schema)
 
 
 def predict_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every row; rows whose crc32(id) mod 4 is 2 teach nothing."""
+    """doc_id, held_out, lang_pred, score, strength of every row; rows whose crc32(id) mod 4 is 2 teach nothing.
+
+    A row with a null id is not held out and may teach; a null language teaches nothing. Null, empty, letterless, very
+    long and repeated texts are as in classify. Ties go to the first language by name. An empty table gives no rows.
+    """
     held = F.coalesce(crc_of_id(id_col) % 4 == 2, F.lit(False))
     model = fit(docs.where(~held), text_col, label_col, id_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return classify(rows, model).select("doc_id", "held_out", "lang_pred", "score")
+    return classify(rows, model).select("doc_id", "held_out", "lang_pred", "score", "strength")
