@@ -3,7 +3,8 @@
 Every document's distinct line keys are hashed to 128 bits and counted (map-side combined). The keys that reach
 ``min_docs`` are dealt into shards; each shard is a minimal perfect hash with a fingerprint, a count and a keeper array.
 Documents probe these arrays. While all shards together stay under ``broadcast_bytes`` every task gets them; beyond
-that the documents' line hashes are dealt to the shards and only the hits travel back.
+that the documents' line hashes are dealt to the shards and only the hits travel back; the most frequent lines, of which
+there are few, are then known to all tasks and answered where they stand.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from .mphf import PerfectHash
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 200_000
 BROADCAST_BYTES = 64 << 20
+#: Lines that make up more than one in so many occurrences are known to all tasks; there are fewer of them than that.
+OFTEN = 4_096
 WHITE = " \t\n\x0b\x0c\r"
 NOBODY = -(2**63)
 
@@ -150,11 +154,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return lambda part, texts: _dropped(texts, part.column(id_at).to_pylist(), index, min_chars)
 
         return docs.mapInArrow(_rewriter(names, text_at, start), out)
-    return _shuffled(docs, pair, blobs, shards, min_chars, names, id_at, text_at, out)
+    total = common.agg(F.sum("n")).first()[0] or 0
+    often = {(r["a"], r["b"]): r["keeper"] for r in common.where(F.col("n") * OFTEN > F.lit(total)).collect()}
+    return _shuffled(docs, pair, blobs, docs.sparkSession.sparkContext.broadcast(often), shards, min_chars, names, id_at, text_at, out)
 
 
-def _probes(min_chars: int, shards: int):
+def _probes(min_chars: int, shards: int, often):
     def run(batches):
+        known = often.value
         for part in slices(batches):
             digests, rows = [], []
             for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
@@ -165,13 +172,22 @@ def _probes(min_chars: int, shards: int):
                         digests.append(h)
                         rows.append((doc_id, print_, j))
             a, b = _halves(digests)
-            shard = ((a >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
             ids, prints, lines = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(shard), pa.nulls(len(a), pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array(lines, pa.int32())], ["shard", "blob", "a", "b", "doc_id", "print", "line"])
+            told = [known.get(k) for k in zip(a.view(np.int64).tolist(), b.view(np.int64).tolist(), strict=True)] if known else [None] * len(a)
+            hit = np.array([k is not None and k != NOBODY and k != i for k, i in zip(told, ids, strict=True)], bool)
+            stays = np.array([k is not None for k in told], bool) & ~hit
+            # What is answered here goes to any shard's task, only to come along.
+            spread = np.fromiter((p[0] + 256 * p[1] + j for p, j in zip(prints, lines, strict=True)), np.uint64, len(a))
+            shard = (np.where(hit, spread, a >> np.uint64(1)) % np.uint64(shards)).astype(np.int64)
+            out = pa.record_batch([pa.array(shard), pa.nulls(len(a), pa.binary()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(ids, pa.int64()), pa.array(prints, pa.binary()), pa.array(lines, pa.int32()), pa.array(hit)], _PROBE)
+            yield out.filter(pa.array(~stays))
 
     return run
 
 
+_PROBE = ["shard", "blob", "a", "b", "doc_id", "print", "line", "hit"]
+
+
 def _hits(shards: int):
     def run(batches):
         held, index = None, LineIndex(shards, {})
@@ -185,6 +201,9 @@ def _hits(shards: int):
                 if (blob := blobs[int(at)].as_py()) is not None:
                     index = LineIndex(shards, {int(shard[at]): blob})
                     run_ = run_.slice(1)
+                answered = run_.column("hit").cast(pa.bool_())
+                yield run_.filter(answered).select(["doc_id", "print", "line"])
+                run_ = run_.filter(pc.invert(answered))
                 a, b = (run_.column(c).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) for c in ("a", "b"))
                 known, keeper = index.keepers(a, b)
                 ids = run_.column("doc_id").to_pylist()
@@ -194,10 +213,10 @@ def _hits(shards: int):
     return run
 
 
-def _shuffled(docs, pair, blobs, shards, min_chars, names, id_at, text_at, out) -> DataFrame:
+def _shuffled(docs, pair, blobs, often, shards, min_chars, names, id_at, text_at, out) -> DataFrame:
     """Beyond the broadcast bound: line hashes go to their shard, hits come back per document."""
-    probes = pair.mapInArrow(_probes(min_chars, shards), "shard long, blob binary, a long, b long, doc_id long, print binary, line int")
-    both = blobs.select("shard", "blob", *(F.lit(None).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("doc_id", "long"), ("print", "binary"), ("line", "int")))).unionByName(probes)
+    probes = pair.mapInArrow(_probes(min_chars, shards, often), "shard long, blob binary, a long, b long, doc_id long, print binary, line int, hit boolean")
+    both = blobs.select("shard", "blob", *(F.lit(None).cast(t).alias(c) for c, t in (("a", "long"), ("b", "long"), ("doc_id", "long"), ("print", "binary"), ("line", "int"))), F.lit(False).alias("hit")).unionByName(probes)
     met = both.repartition("shard").sortWithinPartitions("shard", F.col("blob").isNull())
     # Rows that share both id and text lose the same lines, so a line number is told once.
     gone = met.mapInArrow(_hits(shards), "doc_id long, print binary, line int").groupBy("doc_id", "print").agg(F.collect_set("line").alias("gone"))

@@ -5,6 +5,7 @@ import math
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -13,6 +14,7 @@ from glyphflow.llm.exact_dedup import exact_groups
 from glyphflow.llm.exact_topk import search_blocks, top_k
 from glyphflow.llm.line_dedup import dedup_lines
 from glyphflow.llm.mphf import PerfectHash
+from glyphflow.llm.registry import QUERIES
 
 DOCS = "doc_id long, text string"
 
@@ -126,6 +128,26 @@ def test_lines_against_brute_force(spark, broadcast_bytes, monkeypatch):
     assert sorted((tuple(r) for r in got.drop("blob").collect()), key=str) == brute_lines(LINE_ROWS)
 
 
+@pytest.mark.parametrize("broadcast_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("often", [4, 10**9])
+def test_lines_that_nearly_all_hold_are_answered_where_they_stand(spark, broadcast_bytes, often, monkeypatch):
+    monkeypatch.setattr(line_dedup, "OFTEN", often)
+    rows = [(i % 150, f"every one of us holds this line\nand some hold this one: number {i % 7}\nown line of the document {i}") for i in range(200)]
+    got = dedup_lines(spark.createDataFrame(rows, DOCS), broadcast_bytes=broadcast_bytes)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == brute_lines(rows)
+
+
+def test_lines_query_and_its_twin_agree_on_repeated_and_missing_ids(spark, tmp_path):
+    rows = [(1, LINE), (1, f"{LINE}\nx"), (2, LINE), (3, None), (None, f"{LINE}\nno id"), *[(None, "held only by rows that have no id")] * 3, (4, ""), (4, "")]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["op10_line_dedup"].run(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(QUERIES["op10_line_dedup"].sql).fetchall()
+    assert sorted(map(str, map(tuple, got.select("doc_id", "n_lines", "n_dropped", "kept_sha256").collect()))) == sorted(map(str, want)) and len(want) == len(rows)
+    assert [r["n_dropped"] for r in got.where("doc_id = 1").collect()] == [1, 1]
+
+
 def test_lines_of_nothing(spark):
     assert dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
 
