@@ -4,8 +4,10 @@ Vectors lie in blocks of neighbouring ids. A block keeps a forward index (its ro
 largest and smallest weight. A query orders the blocks by the sum of its terms' best products, an upper bound of any
 score in the block, and reads block after block until the next bound falls below its k-th best score.
 
-Blocks are dealt into shards of bounded size. Each task holds one shard and streams the query groups past it, so
-memory doesn't grow with the queries; the best k of each shard meet in a per-query ranking of k rows a shard.
+Blocks are dealt into shards of bounded size, whose largest and smallest weights all tasks get (neighbouring shards share
+them where they would be too many). A query first visits the shard with the highest bound; its k-th best score there goes
+with it, and it visits only the shards whose bound still reaches that score. Each task holds one shard and streams the
+queries past it, so memory doesn't grow with the queries.
 """
 
 from __future__ import annotations
@@ -23,11 +25,14 @@ from .common import settled
 BLOCK_ROWS = 256
 GROUP_ROWS = 512
 MIN_SHARD_ROWS, MAX_SHARD_ROWS = 8_192, 131_072
+#: Bytes of the shards' extremes that go to all tasks.
+SUMMARY_BYTES = 64 << 20
 #: Sums of doubles that hold whole numbers are exact below this.
 EXACT = 2.0**53
 _LONG_MIN, _LONG_MAX = -(2**63), 2**63 - 1
 
 _PACKED = "shard long, seq long, kind int, n int, dim int, ids binary, weights binary, high binary, low binary"
+_ASKED = "shard long, seq long, kind int, n int, dim int, ids binary, weights binary, high binary, low binary, least binary"
 _FOUND = "query_seq long, query_row int, query_id long, vec_id long, score long"
 
 
@@ -95,8 +100,12 @@ def _whole(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_blocks(blocks: list[dict], queries: np.ndarray, query_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, vec_id, score) of the k best of these blocks for each query; ties to the smaller id."""
+def search_blocks(blocks: list[dict], queries: np.ndarray, query_ids: np.ndarray, k: int, least: np.ndarray | None = None, count: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, vec_id, score) of the k best of these blocks for each query; ties to the smaller id.
+
+    least: a score that each query has k others of, so that only as good ones matter. count, a list of two, is added the
+    blocks that were scored and those that were not.
+    """
     dim = max([queries.shape[1], *(b["m"].shape[1] for b in blocks)])
     queries = _wide(queries, dim)
     high, low = (np.stack([np.pad(b[x], (0, dim - len(b[x]))) for b in blocks]) for x in ("high", "low"))
@@ -106,22 +115,24 @@ def search_blocks(blocks: list[dict], queries: np.ndarray, query_ids: np.ndarray
     order = np.argsort(-bounds, axis=1, kind="stable")
     nq = len(queries)
     row, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kth, alive = np.full(nq, -np.inf), np.ones(nq, bool)
+    kth, alive = np.full(nq, -np.inf) if least is None or not safe else least.copy(), np.ones(nq, bool)
     for step in range(len(blocks)):
         now = order[:, step]
         alive &= bounds[np.arange(nq), now] >= kth
         if not alive.any():
             break
         found = [(row, ids, scores)]
+        if count is not None:
+            count[0] += int(alive.sum())
         for at in np.unique(now[alive]):
             block, own = blocks[at], np.flatnonzero(alive & (now == at))
             m = _wide(block["m"], dim)
             if safe:
                 s = queries[own] @ m.T
-                least = kth[own]
+                floor = kth[own]
                 if s.shape[1] > k + 1:  # one more, as the query's own row may be among them
-                    least = np.maximum(least, np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1])
-                r, c = np.nonzero(s >= least[:, None])
+                    floor = np.maximum(floor, np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1])
+                r, c = np.nonzero(s >= floor[:, None])
                 s = s[r, c].astype(np.int64)
             else:
                 exact = _whole(queries[own]) @ _whole(m).T
@@ -137,7 +148,10 @@ def search_blocks(blocks: list[dict], queries: np.ndarray, query_ids: np.ndarray
         row, ids, scores = row[keep], ids[keep], scores[keep]
         full = np.bincount(row, minlength=nq) >= k
         last = np.searchsorted(row, np.arange(nq), side="right") - 1
-        kth[full] = scores[last[full]].astype(np.float64) if safe else -np.inf
+        if safe:
+            kth[full] = np.maximum(kth[full], scores[last[full]].astype(np.float64))
+    if count is not None:
+        count[1] += nq * len(blocks)
     return row, ids, scores
 
 
@@ -153,13 +167,72 @@ def _searcher(k: int):
                 if r["kind"] == 0:
                     blocks.append({"ids": ids, "m": matrix, "high": np.frombuffer(r["high"]), "low": np.frombuffer(r["low"])})
                 elif blocks:
-                    row, vec, score = search_blocks(blocks, matrix, ids, k)
-                    columns = [np.full(len(row), r["seq"]), row.astype(np.int32), ids[row], vec, score]
+                    # The rows of a query group that came here.
+                    rows, least = np.frombuffer(r["high"], np.int64), np.frombuffer(r["least"])
+                    row, vec, score = search_blocks(blocks, matrix, ids, k, least)
+                    columns = [np.full(len(row), r["seq"]), rows[row].astype(np.int32), ids[row], vec, score]
                     yield pa.record_batch([pa.array(c) for c in columns], ["query_seq", "query_row", "query_id", "vec_id", "score"])
 
     return run
 
 
+def _extremes(key, table):
+    """The largest and smallest weights of a shard."""
+    dim = max(table.column("dim").to_pylist())
+    high, low = (np.stack([np.pad(np.frombuffer(x), (0, dim - len(x) // 8)) for x in table.column(c).to_pylist()]) for c in ("high", "low"))
+    return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "high": pa.array([high.max(0).tobytes()]), "low": pa.array([low.min(0).tobytes()])})
+
+
+class Extremes:
+    """Bounds of a query's scores in every shard; neighbours share theirs where all would take more than so many bytes."""
+
+    def __init__(self, rows: list[tuple[int, bytes, bytes]], most_bytes: int = SUMMARY_BYTES):
+        rows = sorted(rows)
+        dim = max((len(h) // 8 for _, h, _ in rows), default=0)
+        self.shards = np.array([s for s, _, _ in rows], np.int64)
+        high, low = (np.stack([np.pad(np.frombuffer(r[i]), (0, dim - len(r[i]) // 8)) for r in rows]) if rows else np.zeros((0, dim)) for i in (1, 2))
+        each = max(1, math.ceil(len(rows) * dim * 16 / most_bytes))
+        starts = np.arange(0, len(rows), each)
+        self.high, self.low = (f.reduceat(m, starts, axis=0) if len(rows) else m for f, m in ((np.maximum, high), (np.minimum, low)))
+        self.group = np.arange(len(rows)) // each
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        dim = max(queries.shape[1], self.high.shape[1])
+        queries, high, low = (_wide(m, dim) for m in (queries, self.high, self.low))
+        if float(np.maximum(np.abs(high), np.abs(low)).max(initial=0)) * float(np.abs(queries).sum(1).max(initial=0)) >= EXACT:
+            return np.full((len(queries), len(self.shards)), np.inf)
+        return (np.maximum(queries, 0) @ high.T + np.minimum(queries, 0) @ low.T)[:, self.group]
+
+
+def _visits(handle, first: bool):
+    """Query groups, split by the shards that their queries visit: the one with the highest bound, or the others that can
+    still hold one of a query's k best."""
+
+    def run(batches):
+        extremes = handle.value
+        for batch in batches:
+            for r in batch.to_pylist():
+                matrix, ids = np.frombuffer(r["weights"]).reshape(r["n"], r["dim"]), np.frombuffer(r["ids"], np.int64)
+                bounds, least = extremes.bounds(matrix), np.full(r["n"], -np.inf)
+                home = bounds.argmax(1)
+                goes = np.zeros(bounds.shape, bool)
+                goes[np.arange(r["n"]), home] = True
+                if not first:
+                    for row, score in zip(r["rows"] or [], r["scores"] or [], strict=True):
+                        least[row] = score
+                    goes = ~goes & (bounds >= least[:, None])
+                for s in np.flatnonzero(goes.any(0)).tolist():
+                    own = np.flatnonzero(goes[:, s])
+                    columns = [int(extremes.shards[s]), r["seq"], 1, len(own), r["dim"], ids[own].tobytes(), matrix[own].tobytes(), own.astype(np.int64).tobytes(), b"", least[own].tobytes()]
+                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.binary()] * 5]
+                    yield pa.record_batch([pa.array([c], t) for c, t in zip(columns, kinds, strict=True)], _ASKED_NAMES)
+
+    return run
+
+
+_ASKED_NAMES = [x.split()[0] for x in _ASKED.split(", ")]
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, scale: float = 64.0, query_modulus: int = 20) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest integer inner products of floor(scale * component).
 
@@ -180,8 +253,18 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     # However many partitions the blocks came in, neighbours share a shard of about shard_rows rows.
     parts = max(1, blocks.rdd.getNumPartitions())
     blocks = blocks.withColumn("shard", F.floor(F.col("shard") * min(shards, parts) / parts))
-    past = groups.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(min(shards, parts) - 1).cast("long"))))
-    met = blocks.unionByName(past).repartition(F.col("shard")).sortWithinPartitions("shard", "kind", "seq")
-    found = met.mapInArrow(_searcher(k), _FOUND)
+    blocks = blocks.withColumn("least", F.lit(None).cast("binary"))
+    told = blocks.select("shard", "dim", "high", "low").groupBy("shard").applyInArrow(_extremes, "shard long, high binary, low binary").collect()
+    handle = vectors.sparkSession.sparkContext.broadcast(Extremes([(r["shard"], bytes(r["high"]), bytes(r["low"])) for r in told]))
+
+    def search(asked: DataFrame) -> DataFrame:
+        met = blocks.unionByName(asked).repartition(F.col("shard")).sortWithinPartitions("shard", "kind", "seq")
+        return met.mapInArrow(_searcher(k), _FOUND)
+
+    home = settled(search(groups.mapInArrow(_visits(handle, True), _ASKED)))
+    # A query that has its k scores takes the last of them along.
+    kth = home.groupBy("query_seq", "query_row").agg(F.min("score").alias("score"), F.count("*").alias("n")).where(F.col("n") >= k)
+    kth = kth.groupBy(F.col("query_seq").alias("seq")).agg(F.collect_list(F.struct("query_row", "score")).alias("x")).select("seq", F.col("x.query_row").alias("rows"), F.col("x.score").alias("scores"))
+    found = home.unionByName(search(groups.join(kth, "seq", "left").mapInArrow(_visits(handle, False), _ASKED)))
     ranked = Window.partitionBy("query_seq", "query_row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
