@@ -8,31 +8,52 @@ show to be harmless, it counts as mention, otherwise as abuse. A small logistic
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_of_id, settled, slices
 from .quality import labelled_sample
 
-#: Bounds: labelled documents learned from, candidate terms looked at, entries kept, context words kept.
-SAMPLE_ROWS, CANDIDATES, ENTRIES, CONTEXT_WORDS = 10_000, 4_000, 400, 2_000
+#: Bound of the labelled documents learned from; terms, entries and context words are all that these give.
+SAMPLE_ROWS = 10_000
 MIN_DOCS, MIN_RATIO, COVER = 3, 8.0, 3
 PREFIXES = (4, 5, 6)
-MAX_TOKEN = 40
 WINDOW = 5
 THRESHOLD = 0.7
 FEATURES = ["exact", "misspelled", "mentioned", "density", "context"]
 _TOKEN = re.compile(r"\w+")
+#: Scripts that write words without spaces between them; their runs are read as overlapping pairs of characters.
+_UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]+")
 #: Marks that open or close a quotation.
 QUOTES = "\"'“”„‟«»‹›‘’‚`"
 _MEMO = 400_000
 
 
+def tokens_of(text: str) -> list[str]:
+    """The lower-cased words; pairs of neighbouring characters where a script writes no spaces."""
+    found = _TOKEN.findall(text.lower())
+    if text.isascii() or not _UNSPACED.search(text):
+        return found
+    return [part for word in found for part in _parts(word)]
+
+
+def _parts(word: str) -> list[str]:
+    out, at = [], 0
+    for m in _UNSPACED.finditer(word):
+        if at < m.start():
+            out.append(word[at : m.start()])
+        run, at = m.group(), m.end()
+        out += [run[i : i + 2] for i in range(max(1, len(run) - 1))]
+    return out + [word[at:]] * (at < len(word))
+
+
 def allowed_edits(length: int) -> int:
     return 0 if length < 5 else 1 if length < 9 else 2
 
@@ -90,41 +111,31 @@ class Trie:
         return list(best.items())
 
 
-HEAD = 4
-
-
-class Heads(dict):
-    """Whether a token that begins like this can still spell an entry; answers are kept as they are found."""
-
-    def __init__(self, entries: list[str]):
-        self.entries = entries
+class Pieces:
+    """Whether a token can spell one of the words at all: of a word cut in one piece more than it may have edits, one piece
+    stands in the token unchanged, moved by no more places than there are edits."""
 
-    def __missing__(self, head: str) -> bool:
-        self[head] = out = any(self._near(head, e) for e in self.entries)
-        return out
+    def __init__(self, words: list[str]):
+        self.places: dict[str, list[tuple[int, int]]] = defaultdict(list)
+        for w in words:
+            most = allowed_edits(len(w))
+            cuts = [len(w) * i // (most + 1) for i in range(most + 2)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                self.places[w[a:b]].append((a - most, a + most))
+        self.sizes = sorted({len(p) for p in self.places})
 
-    @staticmethod
-    def _near(head: str, entry: str) -> bool:
-        word = entry.rstrip("*")
-        if not head:
-            return False
-        if entry.endswith("*"):
-            n = min(len(head), len(word))
-            return head[:n] == word[:n] and (len(head) == HEAD or len(head) >= len(word))
-        most = allowed_edits(len(word))
-        if len(head) < HEAD:  # the head is the whole token
-            return len(word) - most <= len(head) <= len(word) + most
-        row = list(range(len(word) + 1))
-        for i, c in enumerate(head, 1):
-            last, row = row, [i]
-            for j, w in enumerate(word, 1):
-                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (c != w)))
-        return min(row) <= most
+    def allow(self, token: str) -> bool:
+        for size in self.sizes:
+            for at in range(len(token) - size + 1):
+                for low, high in self.places.get(token[at : at + size], ()):
+                    if low <= at <= high:
+                        return True
+        return False
 
 
 def _terms(text: str) -> set[str]:
-    words = set(_TOKEN.findall(text.lower()))
-    out = {w for w in words if len(w) <= MAX_TOKEN}
+    words = set(tokens_of(text))
+    out = set(words)
     for w in words:
         out.update(w[:k] + "*" for k in PREFIXES if len(w) >= k)
     return out
@@ -147,7 +158,7 @@ def _counted(toxic: Counter, clean: Counter, docs: list[int]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(terms, pa.string()), pa.array([toxic[t] if t is not None else docs[1] for t in terms], pa.int64()), pa.array([clean[t] if t is not None else docs[0] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
 
-def cover(found: list[set[str]], weight: dict[str, float], entries: int = ENTRIES, times: int = COVER) -> list[str]:
+def cover(found: list[set[str]], weight: dict[str, float], times: int = COVER) -> list[str]:
     """Greedy choice of terms until every document that can be is covered ``times`` times.
 
     A term and its beginnings never both enter: what they would cover is the same.
@@ -159,9 +170,16 @@ def cover(found: list[set[str]], weight: dict[str, float], entries: int = ENTRIE
     need = [times] * len(found)
     gain = {t: len(own) * weight[t] for t, own in holders.items()}
     chosen: list[str] = []
-    while gain and len(chosen) < entries:
-        # Of terms that cover the same, the longest: a whole word before its beginning.
-        t = max(gain, key=lambda x: (round(gain[x], 9), len(x.rstrip("*")), not x.endswith("*"), x))
+    # Of terms that cover the same, the longest: a whole word before its beginning. Gains only fall, so a term whose gain
+    # still is what it was when it was put in line is the best.
+    rank = lambda x: (-round(gain[x], 9), -len(x.rstrip("*")), x.endswith("*"), [-ord(c) for c in x])
+    line = [(rank(t), t) for t in gain]
+    heapq.heapify(line)
+    while line:
+        was, t = heapq.heappop(line)
+        if was != (now := rank(t)):
+            heapq.heappush(line, (now, t))
+            continue
         if gain[t] < MIN_DOCS * 0.5:
             break
         del gain[t]
@@ -187,47 +205,52 @@ class Judge:
         self.memo: dict[str, int] = {}
 
     def __getstate__(self):
-        return {**self.__dict__, "memo": {}, "heads": None, "tails": None}
+        return {**self.__dict__, "memo": {}, "near": {}}
 
     def __setstate__(self, state):
         self.__dict__ = state
-        self._filter()
 
     def _filter(self) -> None:
         entries = self.trie.entries
-        words = [e for e in entries if not e.endswith("*")]
-        self.heads = Heads(entries)
-        # A token near a whole word ends like it, read backwards; beginnings say nothing of the end.
-        self.tails = Heads([w[::-1] for w in words])
+        self.words = [e for e in entries if not e.endswith("*")]
         self.beginnings = tuple(e.rstrip("*") for e in entries if e.endswith("*"))
-        # What lies further than this can't change which entries a token spells.
-        self.enough = max(map(len, entries), default=0) + 3
+        #: By a token's length: the words that it can spell, as pieces and as a trie.
+        self.near: dict[int, tuple[Pieces, Trie] | None] = {}
+
+    def _near(self, n: int) -> tuple[Pieces, Trie] | None:
+        words = [w for w in self.words if abs(len(w) - n) <= min(allowed_edits(len(w)), allowed_edits(n + 1))]
+        self.near[n] = out = (Pieces(words), Trie(words)) if words else None
+        return out
 
     def edits(self, token: str) -> int:
         """Least edits to an entry; -1 for no entry."""
-        if not self.heads[token[:HEAD]]:
-            return -1
-        token = token[: self.enough]
         got = self.memo.get(token)
-        if got is None:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            likely = token.startswith(self.beginnings) or self.tails[token[: -HEAD - 1 : -1]]
-            got = min((k for _, k in self.trie.match(token, keep_first=False)), default=-1) if likely else -1
-            if got > 0 and token in self.harmless:
-                got = -1
-            self.memo[token] = got
+        if got is not None:
+            return got
+        if len(self.memo) > _MEMO:
+            self.memo.clear()
+        got, n = -1, len(token)
+        if token.startswith(self.beginnings):
+            got = 0
+        else:
+            near = self.near[n] if n in self.near else self._near(n)
+            if near and near[0].allow(token):
+                got = min((k for _, k in near[1].match(token, keep_first=False)), default=-1)
+        if got > 0 and token in self.harmless:
+            got = -1
+        self.memo[token] = got
         return got
 
     def hits(self, text: str) -> tuple[list[tuple[str, int, bool, list[str]]], int]:
         """(token, edits, quoted, window words) of each hit, and the number of tokens."""
-        tokens = _TOKEN.findall(text.lower())
-        edits, heads = self.edits, self.heads
-        at = [i for i, t in enumerate(tokens) if heads[t[:HEAD]] and edits(t) >= 0]
-        if not at:
+        tokens = tokens_of(text)
+        edits = self.edits
+        told = {t: edits(t) for t in set(tokens)}
+        if max(told.values(), default=-1) < 0:
             return [], len(tokens)
+        at = [i for i, t in enumerate(tokens) if told[t] >= 0]
         marks = _quoted(text.lower()) if any(q in text for q in QUOTES) else set()
-        return [(tokens[i], edits(tokens[i]), i in marks, tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]) for i in at], len(tokens)
+        return [(tokens[i], told[tokens[i]], i in marks, tokens[max(0, i - WINDOW) : i] + tokens[i + 1 : i + 1 + WINDOW]) for i in at], len(tokens)
 
     def features(self, text: str | None) -> list[float]:
         found, n = self.hits(text or "")
@@ -249,9 +272,9 @@ def _quoted(text: str) -> set[int]:
         opened: list[int] | None = None
         for m in re.finditer(r"\w+|[" + re.escape(QUOTES) + "]", line):
             c = m.group()
-            if c in QUOTES and len(c) == 1 and not c.isalnum():
-                inside = 0 < m.start() and m.end() < len(line) and line[m.start() - 1].isalnum() and line[m.end()].isalnum()
-                if inside:
+            if c in QUOTES and len(c) == 1:
+                sides = line[m.start() - 1 : m.start()] + line[m.end() : m.end() + 1]
+                if len(sides) == 2 and sides.isalnum() and not _UNSPACED.search(sides):
                     continue
                 if opened is None:
                     opened = []
@@ -259,9 +282,10 @@ def _quoted(text: str) -> set[int]:
                     out.update(opened)
                     opened = None
             else:
-                if opened is not None:
-                    opened.append(number)
-                number += 1
+                for _ in _parts(c) if not c.isascii() and _UNSPACED.search(c) else (c,):
+                    if opened is not None:
+                        opened.append(number)
+                    number += 1
     return out
 
 
@@ -288,7 +312,8 @@ def fit(docs: DataFrame, labels: DataFrame, use, sample_rows: int = SAMPLE_ROWS)
         return Judge([])
     ratio = ((F.col("toxic") + 0.5) / (total["toxic"] + 1)) / ((F.col("clean") + 0.5) / (total["clean"] + 1))
     good = counts.where(F.col("term").isNotNull() & (F.col("toxic") >= MIN_DOCS) & (ratio >= MIN_RATIO))
-    top = good.orderBy(F.col("toxic").desc(), "term").limit(CANDIDATES).collect()
+    # All that the bounded sample gives.
+    top = good.collect()
     weight = {r["term"]: r["toxic"] / (r["toxic"] + r["clean"]) for r in top}
 
     def held(batches):
@@ -319,7 +344,7 @@ def _look_alikes(judge: Judge, sample: DataFrame) -> set[str]:
 
     def run(batches):
         for part in slices(batches):
-            seen = {w for t in part.column(0).to_pylist() for w in set(_TOKEN.findall((t or "").lower())) if judge.edits(w) > 0}
+            seen = {w for t in part.column(0).to_pylist() for w in set(tokens_of(t or "")) if judge.edits(w) > 0}
             yield pa.record_batch([pa.array(sorted(seen), pa.string())], ["w"])
 
     return {r["w"] for r in sample.where("y = 0").select("text").mapInArrow(run, "w string").distinct().collect()}
@@ -332,7 +357,7 @@ def _learn_context(judge: Judge, sample: DataFrame) -> None:
             yield pa.record_batch([pa.array([w for w, _ in rows], pa.string()), pa.array([y for _, y in rows], pa.int32())], ["w", "y"])
 
     seen = sample.select("text", "y").mapInArrow(run, "w string, y int").groupBy("w").agg(F.sum("y").alias("toxic"), F.count("*").alias("n"))
-    top = seen.orderBy(F.col("n").desc(), "w").limit(CONTEXT_WORDS).collect()
+    top = seen.where("n >= 2").collect()
     toxic, n = sum(r["toxic"] for r in top) + 1, sum(r["n"] for r in top) + 2
     base = np.log(toxic / (n - toxic)) if top else 0.0
     judge.context = {r["w"]: float(np.log((r["toxic"] + 2 * toxic / n) / (r["n"] - r["toxic"] + 2 * (n - toxic) / n)) - base) for r in top}
@@ -341,8 +366,9 @@ def _learn_context(judge: Judge, sample: DataFrame) -> None:
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row; rows whose crc32(id) mod 3 is 1 teach nothing.
 
-    Null text counts as empty: it has no hit, so it gets the model's base score. Without toxic and clean labels the
-    lexicon is empty and every score low. Labels without a document, and rows with a null id, teach nothing.
+    Null text counts as empty: it has no hit, so it gets the model's base score. Texts are read whole, however long;
+    repeated rows get equal scores; an empty table gives no rows. Without toxic and clean labels the lexicon is empty and
+    every score low. Labels without a document, and rows with a null id, teach nothing.
     """
     judge = fit(docs, labels, crc_of_id(id_col) % 3 != 1)
     held = F.coalesce(crc_of_id(id_col) % 3 == 1, F.lit(False))
