@@ -9,7 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from glyphflow.llm import line_dedup
+from glyphflow.llm import exact_topk, line_dedup
 from glyphflow.llm.exact_dedup import exact_groups
 from glyphflow.llm.exact_topk import search_blocks, top_k
 from glyphflow.llm.line_dedup import dedup_lines
@@ -39,6 +39,28 @@ def test_top_k_against_brute_force(spark):
     assert got == brute_top_k(rows, 7)
 
 
+def test_top_k_over_many_shards_visits_few(spark, monkeypatch):
+    rng = random.Random(5)
+    for name, value in (("MIN_SHARD_ROWS", 50), ("MAX_SHARD_ROWS", 50), ("BLOCK_ROWS", 8), ("GROUP_ROWS", 7), ("SUMMARY_BYTES", 16 * 6 * 8)):
+        monkeypatch.setattr(exact_topk, name, value)
+    # Neighbouring ids lie near each other, so most shards can't hold a query's best.
+    rows = [(i, [(i // 100) + rng.random() if d == (i // 200) % 6 else rng.random() / 8 for d in range(6)]) for i in range(1200)]
+    rows += [(40, [9.0] * 6), (40, [8.0] * 6), (1300, [-1.0] * 6), (1320, [0.0] * 6)]
+    got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(9), k=7)
+    assert sorted(tuple(r) for r in got.collect()) == brute_top_k(rows, 7)
+    rows = sorted(rows)
+    vectors = np.array([[math.floor(64 * x) for x in v] for _, v in rows], float)
+    extremes = exact_topk.Extremes([(s, vectors[s * 50 : s * 50 + 50].max(0).tobytes(), vectors[s * 50 : s * 50 + 50].min(0).tobytes()) for s in range(len(rows) // 50)], 1 << 20)
+    bounds = extremes.bounds(vectors)
+    scores = vectors @ vectors.T
+    assert all((bounds[:, s] >= scores[:, s * 50 : s * 50 + 50].max(1)).all() for s in range(len(rows) // 50))
+    count = [0, 0]
+    blocks = [{"ids": np.arange(a, a + 8), "m": vectors[a : a + 8], "high": vectors[a : a + 8].max(0), "low": vectors[a : a + 8].min(0)} for a in range(0, 1200, 8)]
+    least = np.sort(scores[::20, :1200], axis=1)[:, -8]
+    row, ids, found = search_blocks(blocks, vectors[::20], np.arange(0, len(vectors), 20), 7, least, count)
+    assert count[0] < count[1] / 2 and (found >= least[row]).all()
+
+
 def test_top_k_of_huge_values_is_exact():
     m = np.array([[2.0**40, 1.0], [2.0**40, 2.0], [-(2.0**62), 0.0]])
     block = {"ids": np.array([1, 2, 3]), "m": m, "high": m.max(0), "low": m.min(0)}
