@@ -13,11 +13,13 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, slices
+from .common import crc_of_id, settled, slices
 
 ORDERS, DIM = (1, 2, 3), 8192
 #: Bounds of the labelled sample and of a language in it, and the least number of landmarks.
 SAMPLE_ROWS, PER_LANGUAGE, LANDMARKS = 3_000, 600, 160
+#: Rows that may be ranked for each that is wanted; more languages than this are joined without a broadcast.
+SPARE, BROADCAST_LANGUAGES = 8, 100_000
 RIDGE, SHARPNESS = 1e-3, 6.0
 UNDETERMINED = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -94,10 +96,15 @@ def fit(train: DataFrame, text_col: str = "text", label_col: str = "lang", id_co
 
     Each language's rows are ranked by a hash of the id, and the sample takes every language's first, then every
     language's second, and so on; so no language is left out while there are at most sample_rows of them. Only ids are
-    ranked, of which a task sends per_language for each language at most; what reaches the driver are n-gram sets.
+    ranked, some SPARE * per_language of each language; what reaches the driver are n-gram sets.
     """
     rows = train.where(F.col(label_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("string").alias("lang"))
     rows = rows.withColumn("print", F.xxhash64("text"))
+    # Of a large language so few are let through by chance that no task ranks many, yet more than are wanted.
+    sizes = settled(rows.groupBy("lang").agg(F.count("*").alias("n")))
+    sizes = F.broadcast(sizes) if sizes.count() <= BROADCAST_LANGUAGES else sizes
+    chance = F.pmod(F.xxhash64(F.lit(7), "id", "print"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rows = rows.join(sizes, "lang").where(chance * F.col("n") <= SPARE * per_language).drop("n")
     turn = Window.partitionBy("lang").orderBy(F.xxhash64(F.lit(5), "id"), "id", "print")
     ranked = rows.select("id", "lang", "print").withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= per_language)
     picked = ranked.orderBy("turn", F.xxhash64(F.lit(6), "id"), "lang", "id", "print").limit(sample_rows).collect()

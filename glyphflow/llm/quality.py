@@ -112,7 +112,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """doc_id, held_out, score, predicted of every row; rows whose crc32(id) mod 5 is 0 teach nothing.
 
     Null text counts as empty and gets the score that its statistics give. Without labels of both kinds the score is
-    the labels' mean, or 0.5. Labels without a document, and rows with a null id, teach nothing.
+    the labels' mean, or 0.5. Labels without a document, and rows with a null id, teach nothing. Texts are read whole,
+    however long; repeated rows get equal scores; an empty table gives no rows.
     """
     model = fit(docs, labels, crc_of_id(id_col) % 5 != 0)
     held = F.coalesce(crc_of_id(id_col) % 5 == 0, F.lit(False))
