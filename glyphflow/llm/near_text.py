@@ -3,6 +3,10 @@
 A text is the set of its five-word shingles. Two texts of similarity s agree in all ROWS minima of one of BANDS bands with
 probability 1 - (1 - s ** ROWS) ** BANDS, which is over 0.999 at 0.8. What meets in a band is only proposed: the
 similarity of each proposed pair is computed from the whole sets.
+
+Texts that meet in a bucket of a band are all proposed with each other where they are few. A crowded bucket goes by
+rounds: each text is proposed with the bucket's first and with the next ones, what is found like another text leaves the
+buckets, and what stays there meets again, each time with twice as many of the next, until the few are all with each other.
 """
 
 from __future__ import annotations
@@ -13,15 +17,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settled, slices
+from .choose import one_of_each
+from .common import name_of, settled, slices
 from .components import components
 
 SHINGLE, SEED = 5, 42
 BANDS, ROWS = 24, 6
 #: Least similarity as a fraction: 4 / 5.
 PART, WHOLE = 4, 5
-#: Up to so many texts in a band's bucket, all pairs are proposed; beyond, each with the first and with its next ones.
-ALL_PAIRS, NEXT = 64, 4
+#: Texts of a bucket that are all proposed with each other in the first round.
+FEW = 8
+#: Words of which a task remembers that it has told their keys.
+_TOLD = 1 << 20
 _CHUNK = 1 << 11
 _rng = np.random.default_rng(SEED)
 _FACTORS = (_rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | 1).astype(np.uint32)
@@ -37,12 +44,25 @@ def _node(tokens: list[bytes]) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+#: Odd factors of the words' places in a run, and of the last mixing.
+_PLACES = (np.random.default_rng(SEED + 1).integers(0, 1 << 63, 64, np.uint64) << np.uint64(1)) | np.uint64(1)
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
+
+
 def shingles(tokens: list[bytes], words: int = SHINGLE) -> np.ndarray:
     """The distinct hashes of the runs of so many words; a shorter text is one run, no words are none."""
     if not tokens:
         return np.zeros(0, np.uint64)
-    runs = [b" ".join(tokens[i : i + words]) for i in range(max(1, len(tokens) - words + 1))]
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(r, SEED) for r in runs), np.uint64, len(runs)))
+    words = min(words, len(tokens))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
+    n = len(tokens) - words + 1
+    with np.errstate(over="ignore"):
+        runs = np.full(n, words, np.uint64)
+        for k in range(words):
+            x = hashes[k : k + n] * _PLACES[k]
+            runs = (runs ^ (x >> np.uint64(32)) ^ x) * _MIX
+        runs ^= runs >> np.uint64(33)
+    return np.unique(runs)
 
 
 def bands(hashes: np.ndarray) -> list[int]:
@@ -55,53 +75,79 @@ def bands(hashes: np.ndarray) -> list[int]:
     return np.array(digests, np.uint64).view(np.int64).tolist()
 
 
+def node_of(text: str | None) -> int | None:
+    """The hash of a text's words; None for no words."""
+    tokens = _tokens(text)
+    return _node(tokens) if tokens else None
+
+
 def _keys(batches):
+    told: set[int] = set()
     for part in slices(batches):
-        rows = [(key, _node(t)) for t in map(_tokens, part.column(0).to_pylist()) if t for key in bands(shingles(t))]
+        rows = []
+        for tokens in filter(None, map(_tokens, part.column(0).to_pylist())):
+            node = _node(tokens)
+            if node in told:
+                continue
+            if len(told) >= _TOLD:
+                told.clear()
+            told.add(node)
+            rows += [(key, node) for key in bands(shingles(tokens))]
         yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["key", "node"])
 
 
-def _propose(batches):
-    """Pairs of each bucket; rows come sorted by key and node, and a bucket may go on in the next batch."""
-    held = None
+def _buckets(batches, give):
+    """give(keys, nodes) of whole buckets without repeats; rows come sorted, and a bucket may go on in the next batch."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def whole():
+        key, node = (np.concatenate(x) for x in zip(*held, strict=True))
+        own = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        return give(key[own], node[own])
+
     for batch in batches:
         key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
         if not len(key):
             continue
-        if held is not None:
-            key, node = np.r_[held[0], key], np.r_[held[1], node]
         tail = int(np.searchsorted(key, key[-1]))
-        if tail:
-            yield _pairs(key[:tail], node[:tail])
-        held = key[tail:], node[tail:]
-    if held is not None:
-        yield _pairs(*held)
+        if tail or (held and held[-1][0][-1] != key[0]):
+            held.append((key[:tail], node[:tail]))
+            yield whole()
+            held = []
+        held.append((key[tail:], node[tail:]))
+    if held:
+        yield whole()
 
 
-def _pairs(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row, its bucket's first row and size."""
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[start, len(key)])
-    own, first = np.repeat(size, size), np.repeat(start, size)
-    i, j = [first[own > ALL_PAIRS]], [np.flatnonzero(own > ALL_PAIRS)]
-    for shift in range(1, min(int(size.max()), ALL_PAIRS)):
-        a = np.flatnonzero((key[shift:] == key[:-shift]) & ((own[shift:] <= ALL_PAIRS) | (shift <= NEXT)))
-        i.append(a)
-        j.append(a + shift)
-    a, b = node[np.concatenate(i)], node[np.concatenate(j)]
-    found = np.unique(np.stack([a, b], 1)[a < b], axis=0)
-    return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+    return np.repeat(start, size), np.repeat(size, size)
+
+
+def _pairs(few: int):
+    def give(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        first, own = _sizes(key)
+        crowded = np.flatnonzero(own > few)
+        i, j = [first[crowded]], [crowded]
+        for shift in range(1, min(int(own.max()), few)):
+            a = np.flatnonzero(key[shift:] == key[:-shift])
+            i.append(a)
+            j.append(a + shift)
+        a, b = node[np.concatenate(i)], node[np.concatenate(j)]
+        found = np.unique(np.stack([a, b], 1)[a < b], axis=0)
+        return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
+    return lambda batches: _buckets(batches, give)
 
-def _noded(docs: DataFrame, text_col: str) -> DataFrame:
-    """The rows with the hash of their words as __node; null where there are none."""
-    at, names = docs.columns.index(text_col), docs.columns
 
-    def run(batches):
-        for part in slices(batches):
-            nodes = [_node(t) if t else None for t in map(_tokens, part.column(at).to_pylist())]
-            yield pa.record_batch([*part.columns, pa.array(nodes, pa.int64())], [*names, "__node"])
+def _crowded(few: int):
+    def give(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
+        own = _sizes(key)[1] > few
+        return pa.record_batch([pa.array(key[own]), pa.array(node[own])], ["key", "node"])
 
-    return docs.mapInArrow(run, docs.withColumn("__node", F.lit(None).cast("long")).schema)
+    return lambda batches: _buckets(batches, give)
 
 
 def _sets(batches):
@@ -110,29 +156,60 @@ def _sets(batches):
         yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
 
 
-def similar_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """a, b: hashes of the words of two texts whose five-word sets have a Jaccard similarity of 4/5 or more."""
-    text = docs.select(F.col(text_col).cast("string").alias("text"))
-    met = text.mapInArrow(_keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
-    pairs = settled(met.mapInArrow(_propose, "a long, b long").distinct())
-    named = pairs.select(F.explode(F.array("a", "b")).alias("__node")).distinct()
-    wanted = _noded(text, "text").join(named, "__node", "left_semi").select("__node", "text").dropDuplicates(["__node"])
+def _nodes(batches):
+    for part in slices(batches):
+        yield pa.record_batch([part.column(0), part.column(1), pa.array([node_of(t) for t in part.column(1).to_pylist()], pa.int64())], ["id", "text", "node"])
+
+
+def _alike(pairs: DataFrame, noded: DataFrame) -> DataFrame:
+    """The pairs whose sets are similar enough."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = noded.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"])
     sets = settled(wanted.mapInArrow(_sets, "node long, set array<long>"))
     left, right = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
-    both = pairs.join(left, "a").join(right, "b")
+    # Of two sets so alike, the smaller has at least that part of the larger; only such pairs carry their sets on.
+    n_a, n_b = (sets.select(F.col("node").alias(n), F.size("set").alias(f"n_{n}")) for n in ("a", "b"))
+    near = pairs.join(n_a, "a").join(n_b, "b").where((F.col("n_a") * WHOLE >= F.col("n_b") * PART) & (F.col("n_b") * WHOLE >= F.col("n_a") * PART)).select("a", "b")
+    both = near.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(shared * WHOLE >= (F.size("set_a") + F.size("set_b") - shared) * PART).select("a", "b")
 
 
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+    """doc_id, mark (the hash of the words) and root (the group) of every row that has words.
+
+    Groups are what similar pairs link; rows of the same words are one text. In crowded buckets the texts that are like a
+    text of smaller id, or like one that is, no longer meet others, so a chain that only they would close may stay open;
+    of what stays no two texts that meet in a bucket are similar.
+    """
+    rows = docs.select(F.col(name_of(id_col)).cast("long").alias("id"), F.col(name_of(text_col)).cast("string").alias("text"))
+    noded = rows.mapInArrow(_nodes, "id long, text string, node long").where("node IS NOT NULL")
+    known = settled(noded.select("id", "node"))
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "node")
+    ranked = known.groupBy("node").agg(F.min(rank).alias("rank"))
+    keys = settled(rows.select("text").mapInArrow(_keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node"))
+    links = None
+    while True:
+        pairs = settled(keys.mapInArrow(_pairs(few), "a long, b long").distinct())
+        found = settled(_alike(pairs, noded))
+        links = found if links is None else links.unionByName(found)
+        keys = settled(keys.mapInArrow(_crowded(few), "key long, node long"))
+        if keys.isEmpty():
+            break
+        roots = settled(components(found))
+        heads = roots.join(ranked, "node").groupBy("root").agg(F.min("rank")["node"].alias("node"))
+        gone = roots.select("node").join(heads, "node", "left_anti")
+        few *= 2
+        keys = settled(keys.join(gone, "node", "left_anti").repartition("key").sortWithinPartitions("key", "node").select("key", "node"))
+    roots = settled(components(links))
+    joined = known.join(roots, "node", "left")
+    return joined.select(F.col("id").alias("doc_id"), F.col("node").alias("mark"), F.coalesce("root", "node").alias("root"))
+
+
 def keep_one_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows with one of each group of similar texts: the smallest id, a row without an id last.
 
-    Texts without words are like no other and stay.
+    Null texts and texts without words are like no other and stay. Of rows that share id and words one stays. Texts are
+    compared whole, however long. The columns are the input's, whatever their names; an empty table gives no rows.
     """
-    roots = settled(components(similar_links(docs, text_col)))
-    rows = _noded(docs, text_col)
-    members = rows.join(roots, rows["__node"] == roots["node"]).select(F.col(id_col).alias("id"), "node", "root")
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "node")
-    kept = members.groupBy("root").agg(F.min(rank)["node"].alias("node"))
-    gone = roots.select("node").join(kept, "node", "left_anti")
-    return rows.join(gone, rows["__node"] == gone["node"], "left_anti").select(*docs.columns)
+    return one_of_each(docs, similar_groups(docs, id_col, text_col), id_col, text_col, node_of)

@@ -3,7 +3,7 @@
 import random
 
 import corpus_pipeline
-from glyphflow.llm.near_text import keep_one_similar, similar_links
+from glyphflow.llm.near_text import keep_one_similar, similar_groups
 
 DOCS = "doc_id long, text string"
 
@@ -32,8 +32,34 @@ def test_edited_copies_go_and_others_stay(spark):
     rows += [(None, edited(rng, base[30], 2)), (900, None), (901, ""), (902, "short text")]
     docs = spark.createDataFrame(rows, DOCS)
     want = {frozenset((a, b)) for n, (_, a) in enumerate(rows) for _, b in rows[:n] if a != b and similar(a, b)}
-    assert len(want) > 50 and similar_links(docs).count() >= 0.99 * len(want)
+    told = {r["doc_id"]: r["root"] for r in similar_groups(docs).collect()}
+    by_text = {t: told[i] for i, t in rows if i in told}
+    assert len(want) > 50 and sum(by_text[a] == by_text[b] for a, b in want) >= 0.99 * len(want)
     got = {tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
     assert not any(similar(a, b) for _, a in got for _, b in got if a != b)
     assert {(i, t) for i, t in rows[:40]} <= got and {r for r in rows if r[0] and 130 <= r[0] < 150 and not similar(r[1], base[(r[0] - 100) % 10])} <= got
     assert keep_one_similar(docs.limit(0)).count() == 0
+
+
+def test_crowded_buckets_go_by_rounds(spark):
+    rng = random.Random(13)
+    vocabulary = [f"w{k}" for k in range(5000)]
+    base = rng.choices(vocabulary, k=200)
+    rows = [(0, " ".join(base))]
+    # One group of many near copies, and a chain in which each is like its neighbours alone.
+    rows += [(1 + i, edited(rng, " ".join(base), 1)) for i in range(150)]
+    step = rng.choices(vocabulary, k=300)
+    for i in range(30):
+        rows.append((1000 + i, " ".join(step)))
+        for at in range(i * 8, i * 8 + 8):
+            step[at] = f"chain{i}-{at}"
+    rows += [(2000 + i, " ".join(rng.choices(vocabulary, k=200))) for i in range(20)] + [(1, rows[1][1]), (None, rows[0][1]), (3000, None), (3001, None)]
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' AS doc", "1 AS node", "2 AS k", "3 AS m", "4 AS t", "5 AS stays", "6 AS n")
+    got = keep_one_similar(docs)
+    assert got.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in got.collect()]
+    alive = [(i, t) for i, t in kept if t]
+    assert not any(similar(a, b) for n, (_, a) in enumerate(alive) for _, b in alive[:n])
+    assert {i for i, _ in kept} >= {0, 1000, 3000, 3001, *range(2000, 2020)} and not {i for i, _ in kept} & set(range(1, 151))
+    for i, t in rows:
+        assert not t or (i, t) in kept or any(similar(t, other) for _, other in rows if other and other != t) or i is None
