@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from glyphflow.functions.unicode_tables import Ranges
 from glyphflow.grammar import Grammar
@@ -51,39 +54,70 @@ def _cut(tokens: Column) -> Column:
     return F.when(stop > 0, F.slice(tokens, F.lit(1), (stop - 1).cast("int"))).otherwise(tokens)
 
 
+def _rest(native: NativeLexer, text: Column) -> Column:
+    """What stands from the first character on that no rule takes: matches that follow one another are taken off."""
+    return F.regexp_replace(text, F.lit(rf"\G(?:{native.rules})"), F.lit(""))
+
+
+def token_values(native: NativeLexer, text: Column) -> Column:
+    """array<string> of the tokens up to the first character that no rule takes, skippable ones included."""
+    taken = F.substring(text, F.lit(1), F.char_length(text) - F.char_length(_rest(native, text)))
+    return F.regexp_extract_all(taken, F.lit(native.rules), F.lit(0))
+
+
+_PLACES = ["seq", "value", "length", "start_pos", "line", "start_col", "end_col"]
+
+
+def _place(batches):
+    """Tokens with their places out of each document's values, in whole arrays."""
+    for batch in batches:
+        lists = batch.column(1)
+        value, size = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        doc = np.repeat(np.arange(len(size)), size)
+        first = np.cumsum(size) - size
+        length = pc.binary_length(value).to_numpy(zero_copy_only=False).astype(np.int64)
+        end = np.cumsum(length)
+        start = end - length
+        base = np.r_[start, 0][np.minimum(first, len(start))][doc] if len(start) else start
+        breaks = pc.count_substring(value, "\n").to_numpy(zero_copy_only=False).astype(np.int64)
+        lines = np.cumsum(breaks) - breaks
+        # The byte behind the last newline so far; a document begins anew.
+        broken = np.flatnonzero(breaks)
+        tail = pc.binary_length(pc.replace_substring_regex(value.take(pa.array(broken)), "(?s)^.*\n", "")).to_numpy(zero_copy_only=False).astype(np.int64)
+        behind = np.zeros(len(end) + 1, np.int64)
+        behind[broken + 1] = end[broken] - tail
+        begin = np.maximum(np.maximum.accumulate(behind)[:-1], base)
+        column = start - begin + 1
+        own = lines[first[doc]] if len(lines) else lines
+        columns = [np.arange(len(doc)) - first[doc], length, start - base, lines - own + 1, column, column + length]
+        told = [pa.array(c.astype(np.int32)) for c in columns]
+        yield pa.record_batch([batch.column(0).take(pa.array(doc)), told[0], value, *told[1:]], [batch.schema.names[0], *_PLACES])
+
+
 def native_tokens(docs: DataFrame, native: NativeLexer, id_col: str, text_col: str, positions: bool = False) -> DataFrame:
     """id, seq (in the document, skippable ones counted), type, value, and with positions start_pos, length, line,
     start_col and end_col; skippable tokens are left out.
 
-    Without positions nothing is shuffled. Positions are running sums within a document.
+    Nothing is shuffled. Positions are sums along a document's own tokens, taken in Arrow batches.
     """
     skip = [n for _, n, s in (*native.literals, *native.classes) if s]
     keep = ~F.col("type").isin(skip) if skip else F.lit(True)
-    # A column of its own, so that what is used more than once is computed once.
-    cut = docs.select(F.col(id_col), token_array(native, F.col(text_col)).alias("__a")).select(id_col, _cut(F.col("__a")).alias("__t"))
-    rows = cut.select(id_col, F.posexplode("__t").alias("seq", "__x")).select(id_col, "seq", "__x.type", "__x.value")
-    if not positions:
-        return rows.where(keep)
-    before = Window.partitionBy(id_col).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    size = F.octet_length("value")
-    breaks = F.length("value") - F.length(F.replace(F.col("value"), F.lit("\n")))
-    rows = rows.withColumn("length", size).withColumn("start_pos", F.coalesce(F.sum(size).over(before), F.lit(0)).cast("int"))
-    # The byte after the last newline at or before a token's start.
-    after = F.col("start_pos") + F.octet_length(F.expr("substring(value, 1, length(value) - locate('\n', reverse(value)) + 1)"))
-    rows = rows.withColumn("line", (1 + F.coalesce(F.sum(breaks).over(before), F.lit(0))).cast("int"))
-    rows = rows.withColumn("__line_start", F.coalesce(F.max(F.when(breaks > 0, after)).over(before), F.lit(0)))
-    rows = rows.withColumn("start_col", (F.col("start_pos") - F.col("__line_start") + 1).cast("int")).withColumn("end_col", F.col("start_col") + F.col("length"))
-    return rows.where(keep).drop("__line_start")
+    values = docs.select(F.col(id_col), token_values(native, F.col(text_col)).alias("__v"))
+    if positions:
+        kinds = StructType([values.schema[0], *StructType.fromDDL(", ".join(f"{c} {'string' if c == 'value' else 'int'}" for c in _PLACES)).fields])
+        rows = values.mapInArrow(_place, kinds)
+    else:
+        rows = values.select(id_col, F.posexplode("__v").alias("seq", "value"))
+    typed = rows.select(id_col, "seq", _type_of(native, F.col("value")).alias("type"), "value", *(_PLACES[2:] if positions else []))
+    return typed.where(keep)
 
 
 def native_status(docs: DataFrame, native: NativeLexer, id_col: str, text_col: str) -> DataFrame:
     """id, consumed (bytes), completed, unmatched (byte of the first character that no rule takes, or -1)."""
-    tokens = token_array(native, F.coalesce(F.col(text_col), F.lit("")))
-    cut = docs.select(F.col(id_col), F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).alias("__n"), _cut(tokens).alias("__t"))
-    done = F.aggregate("__t", F.lit(0), lambda a, t: a + F.octet_length(t["value"]))
-    cut = cut.select(id_col, "__n", done.alias("consumed"))
-    whole = F.col("consumed") == F.col("__n")
-    return cut.select(id_col, "consumed", whole.alias("completed"), F.when(whole, -1).otherwise(F.col("consumed")).alias("unmatched"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    sizes = docs.select(F.col(id_col), F.octet_length(text).alias("__n"), F.octet_length(_rest(native, text)).alias("__r"))
+    whole, consumed = F.col("__r") == 0, F.col("__n") - F.col("__r")
+    return sizes.select(id_col, consumed.alias("consumed"), whole.alias("completed"), F.when(whole, -1).otherwise(consumed).alias("unmatched"))
 
 
 def _token_rows(found, where: Positions, named: dict) -> list[tuple]:
@@ -117,7 +151,6 @@ def _run(docs: DataFrame, rules, id_col: str, text_col: str, mode: str, budget:
 
     pair = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
     out = StructType([pair.schema[0], *StructType.fromDDL(schema).fields])
     arrow = list(to_arrow_schema(StructType(out.fields[1:])))

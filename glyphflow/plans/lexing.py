@@ -21,6 +21,14 @@ class NativeLexer:
     literals: tuple[tuple[str, str, bool], ...]
     classes: tuple[tuple[Ranges, str, bool], ...]
 
+    @property
+    def rules(self) -> str:
+        """The pattern without its last branch, which takes any one character that no rule does."""
+        return self.pattern.removesuffix(_ANY).removesuffix("|") or "(?!)"
+
+
+_ANY = r"[\s\S]"
+
 
 def _overlap(a: Ranges, b: Ranges) -> bool:
     return any(x <= v and u <= y for x, y in a for u, v in b)
@@ -74,7 +82,7 @@ def native_lexer(rules: list[CompiledRule], contexts: tuple[str, ...] = ("defaul
     branches += [r.java_regex for r in classes]
     # The last branch takes any one character that no rule does; lexing stops there.
     return NativeLexer(
-        "|".join([*branches, r"[\s\S]"]),
+        "|".join([*branches, _ANY]),
         tuple((kept[i].literal, _type(kept[i]), kept[i].skippable) for i in literals),
         tuple((r.first, _type(r), r.skippable) for r in sorted(classes, key=lambda r: len(r.first))),
     )

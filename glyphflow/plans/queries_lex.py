@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from glyphflow.functions.text import is_ascii
 from glyphflow.grammar import read_grammar
 from glyphflow.lexer import PATH_BUDGET
 from glyphflow.operators import lex as L
@@ -81,16 +80,8 @@ SELECT lang, CASE WHEN regexp_matches(v, '^\p{{L}}') THEN 'WORD' WHEN regexp_mat
 FROM t GROUP BY ALL
 """)
 def lex_documents_by_lang(spark, sf):
-    # The counts of a document leave the array as a row for each type, so tokens are never exploded.
-    plan = native(WORDS)
-    types = F.transform(L._cut(L.token_array(plan, F.col("text"))), lambda t: t["type"])
-    docs = texts(spark, sf, "documents").select("lang", types.alias("t"))
-    names = [n for _, n, _ in plan.classes]
-    is_type = lambda n: lambda x: x == n  # noqa: E731  a second parameter would be taken for the index
-    counted = docs.select("lang", *[F.size(F.filter("t", is_type(n))).cast("long").alias(n) for n in names])
-    sums = counted.groupBy("lang").agg(*[F.sum(n).alias(n) for n in names])
-    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("type"), F.col(n).alias("n")) for n in names])).alias("p")
-    return sums.select("lang", pairs).select("lang", "p.type", "p.n").where("n > 0")
+    # Tokens are counted by type where they are made; what is shuffled is a row for each language and type of a task.
+    return L.native_tokens(texts(spark, sf, "documents"), native(WORDS), "lang", "text").groupBy("lang", "type").agg(F.count("*").alias("n"))
 
 
 @register("lex_token_positions", rf"""
@@ -301,27 +292,26 @@ def line_offsets(spark, sf):
 
 
 @register("line_of_offset", """
-SELECT doc_id, CAST(o AS INTEGER) AS "offset", CAST(length(h) - length(replace(h, chr(10), '')) + 1 AS INTEGER) AS line, CAST(strlen(string_split(h, chr(10))[-1]) + 1 AS INTEGER) AS "column"
-FROM (SELECT doc_id, strlen(text) // 2 AS o, CAST(encode(text)[1 : strlen(text) // 2] AS VARCHAR) AS raw, text FROM documents) d,
-LATERAL (SELECT left(text, length(text)) AS t),
-LATERAL (SELECT decode(encode(text)[1 : o]) AS h)
-WHERE strlen(text) = length(text)
+WITH d AS (SELECT doc_id, strlen(text) // 2 AS o, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, o, unnest(ls) AS s, generate_subscripts(ls, 1) AS line FROM d),
+p AS (SELECT doc_id, o, line, coalesce(sum(strlen(s) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM l)
+SELECT doc_id, CAST(any_value(o) AS INTEGER) AS "offset", CAST(max(line) AS INTEGER) AS line, CAST(any_value(o) - max(start) + 1 AS INTEGER) AS "column" FROM p WHERE start <= o GROUP BY doc_id
 """)
 def line_of_offset(spark, sf):
-    docs = texts(spark, sf, "documents").where(is_ascii(F.col("text")))
+    docs = texts(spark, sf, "documents")
     points = docs.select("doc_id", F.expr("octet_length(text) div 2").cast("int").alias("offset"))
     return select.line_of(select.line_starts(docs), points).select("doc_id", "offset", "line", "column")
 
 
 @register("token_at_offset", r"""
-WITH d AS (SELECT doc_id, length(text) // 2 AS o, regexp_extract_all(text, '[a-z]+|[0-9]+|[ \t\r\n]+|[^a-z0-9 \t\r\n]') AS ts FROM documents WHERE strlen(text) = length(text)),
+WITH d AS (SELECT doc_id, strlen(text) // 2 AS o, regexp_extract_all(text, '[a-z]+|[0-9]+|[ \t\r\n]+|[^a-z0-9 \t\r\n]') AS ts FROM documents),
 t AS (SELECT doc_id, o, unnest(ts) AS value, generate_subscripts(ts, 1) AS i FROM d),
-p AS (SELECT *, coalesce(sum(length(value)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t)
-SELECT doc_id, CAST(s AS INTEGER) AS start_pos, value FROM p WHERE s <= o AND o < s + length(value) AND regexp_matches(value, '[a-z0-9]')
+p AS (SELECT *, coalesce(sum(strlen(value)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM t)
+SELECT doc_id, CAST(s AS INTEGER) AS start_pos, value FROM p WHERE s <= o AND o < s + strlen(value) AND regexp_matches(value, '^[a-z0-9]')
 """)
 def token_at_offset(spark, sf):
-    docs = texts(spark, sf, "documents").where(is_ascii(F.col("text")))
-    points = docs.select("doc_id", F.expr("length(text) div 2").alias("offset"))
+    docs = texts(spark, sf, "documents")
+    points = docs.select("doc_id", F.expr("octet_length(text) div 2").alias("offset"))
     rows = L.native_tokens(docs, native(KEYWORDS), "doc_id", "text", positions=True).select("doc_id", "start_pos", "length", "value")
     return select.at_offset(rows, points, start_col="start_pos", length_col="length").select("doc_id", F.col("start_pos").cast("int").alias("start_pos"), "value")
 

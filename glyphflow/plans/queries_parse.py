@@ -195,16 +195,19 @@ def symbols_latest(spark, sf):
 
 
 @register("symbol_lookup_hier", f"""
-WITH {_SYMBOL_SQL}, s AS (SELECT DISTINCT scope, name FROM d WHERE seq % 3 = 0 UNION SELECT DISTINCT 'O', name FROM d),
-u AS (SELECT l_orderkey, l_linenumber, upper(l_returnflag) AS f, 'O.' || (l_partkey % 50) || '.' || l_linenumber AS scope, CASE l_suppkey % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'URGENT' ELSE 'NONE' END AS name FROM lineitem)
+WITH {_SYMBOL_SQL}, s AS (SELECT DISTINCT scope, name FROM d UNION SELECT DISTINCT 'O', name FROM d UNION SELECT 'O', 'ELSEWHERE'),
+u AS (SELECT l_orderkey, l_linenumber, upper(l_returnflag) AS f, 'O.' || (l_partkey % 50) || '.' || l_linenumber AS scope, CASE l_suppkey % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'URGENT' WHEN 2 THEN 'ELSEWHERE' ELSE 'NONE' END AS name FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN a.scope IS NOT NULL THEN a.scope WHEN b.scope IS NOT NULL THEN b.scope END AS found_scope
 FROM u LEFT JOIN s a ON a.name = u.name AND a.scope = regexp_extract(u.scope, '^(O\\.[0-9]+)', 1) LEFT JOIN s b ON b.name = u.name AND b.scope = 'O'
 """.replace("\\\\", "\\"))
 def symbol_lookup_hier(spark, sf):
     declared = _symbols(spark, sf)
     everywhere = declared.withColumn("scope", F.lit("O"))
-    known = symbols.declare(declared.where("seq % 3 = 0").unionByName(everywhere), "seq")
-    name = F.when(F.col("l_suppkey") % 3 == 0, "HIGH").when(F.col("l_suppkey") % 3 == 1, "URGENT").otherwise("NONE")
+    # One name stands only in the outer scope, and one nowhere.
+    outer = spark.range(1).select(F.lit("shop").alias("project"), F.lit("O").alias("scope"), F.lit("ELSEWHERE").alias("name"), F.lit(0.0).alias("value"), F.lit(0).cast("long").alias("seq"))
+    known = symbols.declare(declared.unionByName(everywhere).unionByName(outer), "seq")
+    kind = F.col("l_suppkey") % 4
+    name = F.when(kind == 0, "HIGH").when(kind == 1, "URGENT").when(kind == 2, "ELSEWHERE").otherwise("NONE")
     uses = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("O."), (F.col("l_partkey") % 50).cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("scope"), name.alias("name"))
     return symbols.lookup(uses, known).select("l_orderkey", "l_linenumber", "found_scope")
 
@@ -343,7 +346,10 @@ def session_metrics(spark, sf):
     return session.fold(_edits(spark, sf), SESSION_RULES).select("session_id", "version", "n_tokens", "consumed_all", "unmatched_offset")
 
 
-@register("session_reuse")
+@register("session_reuse", """
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT session_id, CAST(sum(CASE WHEN k = 1 THEN 2 ELSE 3 END) AS BIGINT) AS relexed, CAST(sum(CASE WHEN k = 1 THEN 0 ELSE 2 * (k - 1) - 1 END) AS BIGINT) AS reused FROM e GROUP BY session_id
+""")
 def session_reuse(spark, sf):
     return session.fold(_edits(spark, sf), SESSION_RULES).groupBy("session_id").agg(F.sum("relexed_tokens").alias("relexed"), F.sum("reused_tokens").alias("reused"))
 

@@ -13,10 +13,13 @@ SOURCE_COLUMNS = ["doc_id", "file_name", "text", "n_bytes"]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """The rows, written to the cluster's checkpoint folder; to a temporary one only where none is set."""
+    """The rows, written to the cluster's checkpoint folder; only a local master may do without one."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="glyphflow-checkpoint-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="glyphflow-checkpoint-"))
     return df.checkpoint(eager=True)
 
 
