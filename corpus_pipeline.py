@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphflow.llm import language_id, line_dedup, mixing, near_text, packing, simhash
-from glyphflow.llm.common import apart, crc_of_id, removed, shared_folder, together
+from glyphflow.llm.common import apart, crc_of_id, removed, settled, shared_folder, together
 
 #: Documents whose best language has a weaker regression output than this are rejected, like those without a letter.
 MIN_STRENGTH = 0.2
@@ -50,7 +50,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     or more links, for which op4's fingerprints differ in too many bits. Texts without words are one group; of repeated
     rows one stays; an empty table stays empty.
     """
-    return near_text.keep_one_similar(simhash.keep_one(docs))
+    # Written out between, as the second pass reads the texts several times.
+    return near_text.keep_one_similar(settled(simhash.keep_one(docs)))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .choose import one_of_each
+from .choose import BROADCAST_ROWS, one_of_each
 from .common import name_of, settled, slices
 from .components import components
 
@@ -164,6 +164,8 @@ def _nodes(batches):
 def _alike(pairs: DataFrame, noded: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough."""
     named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Few names go to the texts; the texts of many go to them.
+    named = F.broadcast(named) if 2 * pairs.count() <= BROADCAST_ROWS else named
     wanted = noded.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"])
     sets = settled(wanted.mapInArrow(_sets, "node long, set array<long>"))
     left, right = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
