@@ -5,8 +5,9 @@ probability 1 - (1 - s ** ROWS) ** BANDS, which is over 0.999 at 0.8. What meets
 similarity of each proposed pair is computed from the whole sets.
 
 Texts that meet in a bucket of a band are all proposed with each other where they are few. A crowded bucket goes by
-rounds: each text is proposed with the bucket's first and with the next ones, what is found like another text leaves the
-buckets, and what stays there meets again, each time with twice as many of the next, until the few are all with each other.
+rounds: each text is proposed with the bucket's first and with the ones before it, what is found like another text leaves
+the buckets, and what stays there meets again, each time with twice as many, until the few are all with each other.
+Buckets are read as streams, so no task holds one whole.
 """
 
 from __future__ import annotations
@@ -25,8 +26,10 @@ SHINGLE, SEED = 5, 42
 BANDS, ROWS = 24, 6
 #: Least similarity as a fraction: 4 / 5.
 PART, WHOLE = 4, 5
-#: Texts of a bucket that are all proposed with each other in the first round.
+#: The first texts of a bucket, which are all proposed with each other in every round.
 FEW = 8
+#: Texts before it with which each other text of a bucket is proposed in the first round.
+NEXT = 2
 #: Words of which a task remembers that it has told their keys.
 _TOLD = 1 << 20
 _CHUNK = 1 << 11
@@ -81,103 +84,122 @@ def node_of(text: str | None) -> int | None:
     return _node(tokens) if tokens else None
 
 
-def _keys(batches):
+def _marked(batches):
+    """The hash of each text's words, and its bands' keys where this task hasn't told them lately."""
     told: set[int] = set()
     for part in slices(batches):
-        rows = []
-        for tokens in filter(None, map(_tokens, part.column(0).to_pylist())):
-            node = _node(tokens)
-            if node in told:
-                continue
-            if len(told) >= _TOLD:
-                told.clear()
-            told.add(node)
-            rows += [(key, node) for key in bands(shingles(tokens))]
-        yield pa.record_batch([pa.array([r[k] for r in rows], pa.int64()) for k in (0, 1)], ["key", "node"])
-
-
-def _buckets(batches, give):
-    """give(keys, nodes) of whole buckets without repeats; rows come sorted, and a bucket may go on in the next batch."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-
-    def whole():
-        key, node = (np.concatenate(x) for x in zip(*held, strict=True))
-        own = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-        return give(key[own], node[own])
-
+        nodes, keys = [], []
+        for tokens in map(_tokens, part.column(1).to_pylist()):
+            node = _node(tokens) if tokens else None
+            nodes.append(node)
+            new = node is not None and node not in told
+            keys.append(bands(shingles(tokens)) if new else [])
+            if new:
+                if len(told) >= _TOLD:
+                    told.clear()
+                told.add(node)
+        yield pa.record_batch([part.column(0), pa.array(nodes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["id", "node", "keys"])
+
+
+def _placed(batches):
+    """Keys, nodes, and places in their buckets, without repeats; rows come sorted, a bucket may go on in the next batch."""
+    last, told = None, 0
     for batch in batches:
         key, node = (batch.column(c).to_numpy() for c in ("key", "node"))
         if not len(key):
             continue
-        tail = int(np.searchsorted(key, key[-1]))
-        if tail or (held and held[-1][0][-1] != key[0]):
-            held.append((key[:tail], node[:tail]))
-            yield whole()
-            held = []
-        held.append((key[tail:], node[tail:]))
-    if held:
-        yield whole()
-
-
-def _sizes(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row, its bucket's first row and size."""
-    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    size = np.diff(np.r_[start, len(key)])
-    return np.repeat(start, size), np.repeat(size, size)
-
-
-def _pairs(few: int):
-    def give(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        first, own = _sizes(key)
-        crowded = np.flatnonzero(own > few)
-        i, j = [first[crowded]], [crowded]
-        for shift in range(1, min(int(own.max()), few)):
-            a = np.flatnonzero(key[shift:] == key[:-shift])
-            i.append(a)
-            j.append(a + shift)
-        a, b = node[np.concatenate(i)], node[np.concatenate(j)]
-        found = np.unique(np.stack([a, b], 1)[a < b], axis=0)
-        return pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    return lambda batches: _buckets(batches, give)
+        own = np.r_[last != (key[0], node[0]), (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
+        key, node = key[own], node[own]
+        if not len(key):
+            continue
+        at = np.arange(len(key))
+        start = np.r_[True, key[1:] != key[:-1]]
+        place = at - np.maximum.accumulate(np.where(start, at, 0))
+        if last and last[0] == key[0]:
+            place[: np.searchsorted(key, key[0], "right")] += told
+        last, told = (key[-1], node[-1]), int(place[-1]) + 1
+        yield key, node, place
+
+
+def _batch(a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names)
+
+
+_NONE = (np.zeros(0, np.int64),) * 3
+
+
+def _pairs(near: int):
+    """Pairs of each bucket: every text with the first and the near ones before it, the FEW first with each other."""
+
+    def run(batches):
+        held, head, back = _NONE, 0, max(FEW - 1, near)
+        for rows in _placed(batches):
+            known = len(held[0])
+            key, node, place = (np.concatenate(x) for x in zip(held, rows, strict=True))
+            at = np.arange(len(key))
+            opened = np.maximum.accumulate(np.where(place == 0, at, -1))
+            first = np.where(opened < 0, head, node[opened])
+            fresh = at >= known
+            met = fresh & (place > 0)
+            pairs = [np.stack([first[met], node[met]], 1)]
+            for shift in range(1, min(back, len(key) - 1) + 1):
+                j = shift + np.flatnonzero((key[shift:] == key[:-shift]) & fresh[shift:] & ((place[shift:] < FEW) | (shift <= near)))
+                pairs.append(np.stack([node[j - shift], node[j]], 1))
+            found = np.unique(np.concatenate(pairs), axis=0)
+            yield _batch(found[:, 0], found[:, 1], ["a", "b"])
+            tail = max(int(np.searchsorted(key, key[-1])), len(key) - back)
+            held, head = (key[tail:], node[tail:], place[tail:]), first[-1]
+
+    return run
 
 
 def _crowded(few: int):
-    def give(key: np.ndarray, node: np.ndarray) -> pa.RecordBatch:
-        own = _sizes(key)[1] > few
-        return pa.record_batch([pa.array(key[own]), pa.array(node[own])], ["key", "node"])
+    """The rows of buckets of more than few texts."""
+
+    def run(batches):
+        held = _NONE
+        for rows in _placed(batches):
+            key, node, place = (np.concatenate(x) for x in zip(held, rows, strict=True))
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            ends = np.r_[start[1:], len(key)]
+            crowded = place[ends - 1] >= few
+            goes = np.repeat(crowded, ends - start)
+            yield _batch(key[goes], node[goes], ["key", "node"])
+            held = _NONE if crowded[-1] else (key[start[-1] :], node[start[-1] :], place[start[-1] :])
 
-    return lambda batches: _buckets(batches, give)
+    return run
 
 
 def _sets(batches):
     for part in slices(batches):
-        found = [shingles(_tokens(t)).view(np.int64) for t in part.column(1).to_pylist()]
-        yield pa.record_batch([part.column(0), pa.array(found, pa.list_(pa.int64()))], ["node", "set"])
+        texts = [_tokens(t) for t in part.column(1).to_pylist()]
+        nodes = pa.array([_node(t) if t else None for t in texts], pa.int64())
+        yield pa.record_batch([part.column(0), nodes, pa.array([shingles(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], ["id", "node", "set"])
 
 
-def _nodes(batches):
-    for part in slices(batches):
-        yield pa.record_batch([part.column(0), part.column(1), pa.array([node_of(t) for t in part.column(1).to_pylist()], pa.int64())], ["id", "text", "node"])
+def _sets_of(rows: DataFrame, known: DataFrame, met: DataFrame) -> DataFrame:
+    """node, set, n (its size) of every text that meets another, out of one of its rows."""
+    chosen = settled(known.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("of")))
+    # Few ids go to the texts; the texts of many go to them.
+    near = F.broadcast if chosen.count() <= BROADCAST_ROWS else lambda frame: frame
+    wanted = rows.join(near(chosen.select("of").distinct()), F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    sets = wanted.mapInArrow(_sets, "id long, node long, set array<long>")
+    own = sets.join(near(chosen.withColumnRenamed("node", "named")), F.col("id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("named")), "left_semi")
+    return settled(own.select("node", "set", F.size("set").alias("n")).dropDuplicates(["node"]))
 
 
-def _alike(pairs: DataFrame, noded: DataFrame) -> DataFrame:
+def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets are similar enough."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Few names go to the texts; the texts of many go to them.
-    named = F.broadcast(named) if 2 * pairs.count() <= BROADCAST_ROWS else named
-    wanted = noded.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"])
-    sets = settled(wanted.mapInArrow(_sets, "node long, set array<long>"))
-    left, right = (sets.select(F.col("node").alias(n), F.col("set").alias(f"set_{n}")) for n in ("a", "b"))
+    left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
     # Of two sets so alike, the smaller has at least that part of the larger; only such pairs carry their sets on.
-    n_a, n_b = (sets.select(F.col("node").alias(n), F.size("set").alias(f"n_{n}")) for n in ("a", "b"))
+    n_a, n_b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
     near = pairs.join(n_a, "a").join(n_b, "b").where((F.col("n_a") * WHOLE >= F.col("n_b") * PART) & (F.col("n_b") * WHOLE >= F.col("n_a") * PART)).select("a", "b")
     both = near.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(shared * WHOLE >= (F.size("set_a") + F.size("set_b") - shared) * PART).select("a", "b")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: int = NEXT) -> DataFrame:
     """doc_id, mark (the hash of the words) and root (the group) of every row that has words.
 
     Groups are what similar pairs link; rows of the same words are one text. In crowded buckets the texts that are like a
@@ -185,24 +207,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of what stays no two texts that meet in a bucket are similar.
     """
     rows = docs.select(F.col(name_of(id_col)).cast("long").alias("id"), F.col(name_of(text_col)).cast("string").alias("text"))
-    noded = rows.mapInArrow(_nodes, "id long, text string, node long").where("node IS NOT NULL")
-    known = settled(noded.select("id", "node"))
+    marked = settled(rows.mapInArrow(_marked, "id long, node long, keys array<long>").where("node IS NOT NULL"))
+    known = marked.select("id", "node")
     rank = F.struct(F.col("id").isNull().alias("none"), "id", "node")
     ranked = known.groupBy("node").agg(F.min(rank).alias("rank"))
-    keys = settled(rows.select("text").mapInArrow(_keys, "key long, node long").repartition("key").sortWithinPartitions("key", "node"))
+    keys = marked.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
+    # Only texts that meet another go on.
+    met = settled(keys.mapInArrow(_crowded(1), "key long, node long"))
+    sets = _sets_of(rows, known, met)
     links = None
     while True:
-        pairs = settled(keys.mapInArrow(_pairs(few), "a long, b long").distinct())
-        found = settled(_alike(pairs, noded))
+        pairs = settled(met.mapInArrow(_pairs(near), "a long, b long").distinct())
+        found = settled(_alike(pairs, sets))
         links = found if links is None else links.unionByName(found)
-        keys = settled(keys.mapInArrow(_crowded(few), "key long, node long"))
-        if keys.isEmpty():
+        met = settled(met.mapInArrow(_crowded(max(FEW, near + 2)), "key long, node long"))
+        if met.isEmpty():
             break
         roots = settled(components(found))
         heads = roots.join(ranked, "node").groupBy("root").agg(F.min("rank")["node"].alias("node"))
         gone = roots.select("node").join(heads, "node", "left_anti")
-        few *= 2
-        keys = settled(keys.join(gone, "node", "left_anti").repartition("key").sortWithinPartitions("key", "node").select("key", "node"))
+        near *= 2
+        met = settled(met.join(gone, "node", "left_anti").repartition("key").sortWithinPartitions("key", "node").select("key", "node"))
     roots = settled(components(links))
     joined = known.join(roots, "node", "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("node").alias("mark"), F.coalesce("root", "node").alias("root"))

@@ -2,7 +2,12 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
 import corpus_pipeline
+from glyphflow.llm import near_text
 from glyphflow.llm.near_text import keep_one_similar, similar_groups
 
 DOCS = "doc_id long, text string"
@@ -63,3 +68,23 @@ def test_crowded_buckets_go_by_rounds(spark):
     assert {i for i, _ in kept} >= {0, 1000, 3000, 3001, *range(2000, 2020)} and not {i for i, _ in kept} & set(range(1, 151))
     for i, t in rows:
         assert not t or (i, t) in kept or any(similar(t, other) for _, other in rows if other and other != t) or i is None
+
+
+@pytest.mark.parametrize("rows", [1, 3, 7, 1000])
+def test_buckets_are_streams(rows):
+    rng = np.random.default_rng(rows)
+    sizes = [1, 2, 9, 1, 40, 3, 8, 12, 1]
+    buckets = {k: np.sort(rng.choice(10_000, n, replace=False)) - 5_000 for k, n in zip(range(-4, 5), sizes, strict=True)}
+    # Repeated rows count once.
+    pairs = sorted((k, int(n)) for k, nodes in buckets.items() for n in [*nodes, *nodes[::2]])
+    key, node = np.array(pairs, np.int64).T
+    batches = [pa.record_batch([pa.array(key[i : i + rows]), pa.array(node[i : i + rows])], ["key", "node"]) for i in range(0, len(key), rows)]
+    for few in (1, 8, 11):
+        got = [tuple(r.values()) for b in near_text._crowded(few)(batches) for r in b.to_pylist()]
+        assert sorted(got) == [(k, n) for k, nodes in buckets.items() for n in nodes if len(nodes) > few]
+    for near in (2, 10, 64):
+        got = {tuple(r.values()) for b in near_text._pairs(near)(batches) for r in b.to_pylist()}
+        met = [(nodes, i, j) for nodes in buckets.values() for j in range(len(nodes)) for i in range(j)]
+        assert got == {(int(x[i]), int(x[j])) for x, i, j in met if i == 0 or j < near_text.FEW or j - i <= near}
+        assert all((x[i], x[j]) in got for x, i, j in met if len(x) <= max(near_text.FEW, near + 2))
+    assert not list(near_text._pairs(2)([])) and not list(near_text._crowded(1)([]))
