@@ -160,14 +160,28 @@ class Forest:
             self.stacks.append((symbol, node, below, self.stacks[below][3] + 1))
         return self.numbers[key]
 
+    def mark(self) -> tuple[int, int, int]:
+        return len(self.stacks), len(self.nodes), self.packed
+
+    def cut(self, mark: tuple[int, int, int]) -> None:
+        """Back to what there was at the mark; takes as long as what came after is large."""
+        stacks, nodes, self.packed = mark
+        for numbers, bound in ((self.numbers, stacks), (self.shifted, nodes), (self.reduced, nodes)):
+            # Entries lie in the order of their numbers.
+            while numbers and next(reversed(numbers.values())) >= bound:
+                numbers.popitem()
+        for n in range(nodes, len(self.nodes)):
+            self.children.pop(n, None)
+        del self.stacks[stacks:], self.nodes[nodes:]
+
     def node(self, kind: int, name: str, value: str | None, start: int, length: int) -> int:
         self.nodes.append(Node(len(self.nodes), kind, name, value, start, length))
         return len(self.nodes) - 1
 
 
 class _Run:
-    def __init__(self, parser: Parser, tokens: list[Token], source_length: int, snapshot_every: int, resume, label: bool, by_next: bool = True):
-        """by_next: reduce only to what the next token may follow."""
+    def __init__(self, parser: Parser, tokens: list[Token], source_length: int, snapshot_every: int, resume, label: bool, by_next: bool = True, watch: Callable | None = None):
+        """by_next: reduce only to what the next token may follow. watch(token, paths, run) is called before each token."""
         self.by_next = by_next and not parser.prefixes
         self.p, self.tokens, self.label = parser, tokens, label
         self.result = ParseResult()
@@ -178,8 +192,9 @@ class _Run:
         self.lineage: dict[int, int] = {0: -1}
         begin = 0
         if resume is not None:
-            begin, paths, self.forest, self.next_number, lineage = resume
+            begin, paths, self.forest, self.next_number, lineage, *rested = resume
             self.lineage = dict(lineage)
+            self.rested = list(rested[0]) if rested else []
         significant = [i for i, t in enumerate(tokens) if t.type not in parser.ignorable]
         stacks = self.forest.stacks
         limit = step_budget(len(tokens))
@@ -188,6 +203,8 @@ class _Run:
                 continue
             if snapshot_every and k % snapshot_every == 0:
                 self.result.snapshots.append((k, tuple(paths)))
+            if watch:
+                watch(k, paths, self)
             self.result.steps += 1
             if self.result.steps > limit:
                 break

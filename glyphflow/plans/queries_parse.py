@@ -24,6 +24,13 @@ Grammar: Sums
 <start> ::= <expr>
 <expr> ::= <NUM> <PLUS> <expr> | <NUM>
 """)
+LEFT_SUMS = read_grammar(r"""
+Grammar: LeftSums
+<NUM> ::= /[0-9]+/
+<PLUS> ::= '+'
+<start> ::= <expr>
+<expr> ::= <expr> <PLUS> <NUM> | <NUM>
+""")
 LISTS = read_grammar(r"""
 Grammar: Lists
 <NUM> ::= /[0-9]+/
@@ -354,6 +361,26 @@ def session_reuse(spark, sf):
     return session.fold(_edits(spark, sf), SESSION_RULES).groupBy("session_id").agg(F.sum("relexed_tokens").alias("relexed"), F.sum("reused_tokens").alias("reused"))
 
 
+@register("session_parse", """
+WITH e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events)
+SELECT CAST(user_id AS VARCHAR) AS session_id, CAST(k - 1 AS INTEGER) AS version, CAST(2 * k - 1 AS INTEGER) AS n_tokens, true AS success_full,
+       CAST(1 AS INTEGER) AS n_parses, CAST(3 * k AS INTEGER) AS n_nodes, CAST(greatest(2 * k - 4, 0) AS INTEGER) AS resumed_token
+FROM e
+""")
+def session_parse(spark, sf):
+    """Each user's events as a sum that grows by one number an event, parsed at every version.
+
+    By the left-recursive reading an edit at the end leaves all nodes before it, so no version's parse begins anew."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    rows = spark.read.parquet(f"{sf}/events.parquet").select("user_id", "event_id", (F.row_number().over(w) - 1).alias("version"))
+    first = F.col("version") == 0
+    edits = rows.select(F.col("user_id").alias("session_id"), "version", F.greatest(2 * F.col("version") - 1, F.lit(0)).alias("offset"), F.lit(0).alias("delete_length"), F.when(first, "1").otherwise("+1").alias("insert_text"))
+    return session.fold(edits, LEFT_SUMS.lexer_rules(), LEFT_SUMS).select("session_id", "version", "n_tokens", "success_full", "n_parses", "n_nodes", "resumed_token")
+
+
+
 def _sum_sql(weights, columns):
     return "1 / (1 + exp(-(" + " + ".join(f"{w} * {c}" for w, c in zip(weights, columns, strict=True)) + ")))"
 

@@ -11,11 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glyphflow.glr import Forest, Parser, ParseResult, _Run
+from glyphflow.grammar.model import Grammar
 from glyphflow.lexer import Lexer, Token
 from glyphflow.rules import CompiledRule
 
-# Tokens that must agree before the old tail is taken over, and checkpoints kept.
-REALIGN, CHECKPOINTS = 8, 256
+# Tokens that must agree before the old tail is taken over, checkpoints kept, and how many times its own
+# nodes a session's parses may write before the next begins anew.
+REALIGN, CHECKPOINTS, RETAINED = 8, 256, 8
 
 
 @dataclass
@@ -70,7 +73,7 @@ class _Characters(Lexer):
 def open_session(lexer: _Characters, text: str) -> Session:
     tokens, _, unmatched = lexer.run(text, 0)
     s = Session(text, tokens, unmatched)
-    s.metrics = {"relexed_tokens": len(tokens), "reused_tokens": 0, "resume_boundary": 0}
+    s.metrics = {"relexed_tokens": len(tokens), "reused_tokens": 0, "resume_boundary": 0, "first_token": 0}
     return s
 
 
@@ -103,12 +106,14 @@ def apply_edit(lexer: _Characters, s: Session, offset: int, delete: int, insert:
         tail = fresh[len(fresh) - REALIGN :] + tail
         fresh = fresh[: len(fresh) - REALIGN]
     out = Session(text, head + fresh + tail, unmatched, s.version + 1, pending=s.pending)
-    out.metrics = {"relexed_tokens": len(fresh), "reused_tokens": len(head) + len(tail), "resume_boundary": impact.boundary}
+    out.metrics = {"relexed_tokens": len(fresh), "reused_tokens": len(head) + len(tail), "resume_boundary": impact.boundary, "first_token": len(head)}
     return out
 
 
 METRICS = "session_id string, version int, n_chars int, n_tokens int, relexed_tokens int, reused_tokens int, reuse_ratio double, resume_boundary int, consumed_all boolean, unmatched_offset int, text string"
 
+PARSES = "success_full boolean, success_prefix boolean, n_parses int, n_nodes int, resumed_token int"
+
 
 def _metric_row(key: str, s: Session) -> tuple:
     total = s.metrics["relexed_tokens"] + s.metrics["reused_tokens"]
@@ -143,32 +148,36 @@ def _feed(lexer: _Characters, s: Session | None, row: tuple) -> list[Session]:
     return out or [s]
 
 
-def fold(edits: DataFrame, rules: list[CompiledRule]) -> DataFrame:
+def fold(edits: DataFrame, rules: list[CompiledRule], grammar: Grammar | None = None) -> DataFrame:
     """METRICS rows, one for each applied version, of edits (session_id, version, offset, delete_length, insert_text).
 
-    Sessions are sorted within their partition and fed one record at a time, so only one session's text is held.
+    Sessions are sorted within their partition and fed one record at a time, so only one session's text is held. With a
+    grammar each version is parsed as well, from the last checkpoint that its edit leaves, and PARSES columns follow;
+    resumed_token is where that was.
     """
     ordered = edits.select(F.col("session_id").cast("string"), F.col("version").cast("int"), F.col("offset").cast("int"), F.col("delete_length").cast("int"), F.coalesce("insert_text", F.lit("")).alias("insert_text")).repartition("session_id").sortWithinPartitions("session_id", "version")
-    names = [x.split()[0] for x in METRICS.split(", ")]
+    columns = METRICS if grammar is None else f"{METRICS}, {PARSES}"
+    names = [x.split()[0] for x in columns.split(", ")]
+    kinds = [pa.string(), *[pa.int32()] * 5, pa.float64(), pa.int32(), pa.bool_(), pa.int32(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int32()] * 3][: len(names)]
 
     def run(batches):
         lexer = _Characters(rules)
-        key, state = None, None
+        parser = None if grammar is None else Parser(grammar)
+        key, state, parses = None, None, None
         for batch in batches:
             rows = []
             for k, *row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 if k != key:
-                    key, state = k, None
+                    key, state, parses = k, None, parser and SessionParser(parser)
                 before = -1 if state is None else state.version
                 for s in _feed(lexer, state, tuple(row)):
                     state = s
                     if s.version > before:
-                        rows.append(_metric_row(k, s))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-            kinds = [pa.string(), *[pa.int32()] * 5, pa.float64(), pa.int32(), pa.bool_(), pa.int32(), pa.string()]
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+                        rows.append(_metric_row(k, s) + (_parse_row(parses, s) if parses else ()))
+            told = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(told, kinds, strict=True)], names)
 
-    return ordered.mapInArrow(run, METRICS)
+    return ordered.mapInArrow(run, columns)
 
 
 def stream(edits: DataFrame, rules: list[CompiledRule]) -> DataFrame:
@@ -221,3 +230,67 @@ class ParseCheckpoints:
         for b in [x for x in self.at if x >= boundary]:
             del self.states[b]
         self.at = [b for b in self.at if b in self.states]
+
+
+class _Reading:
+    """A session's forest under one way of reducing, and its checkpoints by token."""
+
+    def __init__(self):
+        self.forest, self.checkpoints, self.written = Forest(), ParseCheckpoints(), 0
+
+
+class SessionParser:
+    """The parses of one session's versions, each equal to a cold parse of its tokens.
+
+    Before every token the live paths, the complete parses that rest behind them and the forest's size are checkpointed.
+    After edited(first), where first is the first token that an edit may have changed, a parse resumes at the nearest
+    checkpoint at or before it. Once the parses since the last cold one have written RETAINED times the nodes of the
+    forest, the checkpoints go and the next parse is cold. A pruner looks at the number of all tokens, so with one every
+    parse is cold.
+    """
+
+    def __init__(self, parser: Parser):
+        self.parser = parser
+        self.readings = {by_next: _Reading() for by_next in ((True,) if parser.prefixes else (True, False))}
+        #: Token at which the last parse took up.
+        self.resumed = 0
+
+    def edited(self, first: int) -> None:
+        for reading in self.readings.values():
+            reading.checkpoints.invalidate_from(first + 1)
+
+    def parse(self, tokens: list[Token], source_length: int) -> ParseResult:
+        for by_next in self.readings:
+            result = self._parse(by_next, tokens, source_length)
+            if result.success_full:
+                break
+        return result
+
+    def _parse(self, by_next: bool, tokens: list[Token], source_length: int) -> ParseResult:
+        reading = self.readings[by_next]
+        found = None if self.parser.pruner else reading.checkpoints.nearest(len(tokens))
+        if found is None:
+            reading = self.readings[by_next] = _Reading()
+            resume, self.resumed = None, 0
+        else:
+            self.resumed, (paths, rested, mark, number) = found
+            reading.checkpoints.invalidate_from(self.resumed + 1)
+            reading.forest.cut(mark)
+            resume = (self.resumed, list(paths), reading.forest, number, {}, rested)
+        kept = len(reading.forest.nodes) if resume else 0
+
+        def watch(token: int, paths: list, run: _Run) -> None:
+            reading.checkpoints.store(token, (tuple(paths), tuple(run.rested), run.forest.mark(), run.next_number))
+
+        run = _Run(self.parser, tokens, source_length, 0, resume, False, by_next, watch)
+        reading.forest = run.forest
+        reading.written += len(run.forest.nodes) - kept
+        if reading.written > RETAINED * len(run.forest.nodes):
+            self.readings[by_next] = _Reading()
+        return run.result
+
+
+def _parse_row(parses: SessionParser, s: Session) -> tuple:
+    parses.edited(s.metrics.get("first_token", len(s.tokens)))
+    r = parses.parse(s.tokens, len(s.text))
+    return (r.success_full, r.success_prefix, r.parses, len(r.nodes), parses.resumed)

@@ -4,6 +4,9 @@ import random
 
 import pytest
 
+from glyphflow.glr import Parser
+from glyphflow.grammar import read_grammar
+from glyphflow.plans.queries_parse import SUMS
 from glyphflow.rules import compile_rule
 from glyphflow.streaming import session
 
@@ -73,3 +76,68 @@ def test_checkpoints_thin_out():
 def test_impact():
     s = session.open_session(LEXER, "ab 12")
     assert session.edit_impact(s.tokens, 2, 0, "xy") == session.Impact(0, 0, 2)
+
+
+TWO_WAYS = read_grammar(r"""
+Grammar: TwoWays
+<NUM> ::= /[0-9]+/
+<PLUS> ::= '+'
+<start> ::= <expr>
+<expr> ::= <expr> <PLUS> <expr> | <NUM>
+""")
+
+
+def shape(r):
+    return sorted((n.type, n.name, n.value or "", n.start, n.length, d) for n, d in r.nodes), r.parses, r.success_full, r.success_prefix, r.failed_at, len(r.packed), len(r.edges), [(t.value, t.start) for t in r.resolved]
+
+
+@pytest.mark.parametrize(("grammar", "prefixes", "seed"), [(SUMS, False, 1), (SUMS, True, 2), (TWO_WAYS, False, 3)])
+def test_resumed_parses_equal_cold_ones(grammar, prefixes, seed):
+    rng = random.Random(seed)
+    lexer, parser = session._Characters(grammar.lexer_rules()), Parser(grammar, prefixes=prefixes)
+    most = 9 if grammar is TWO_WAYS else 60
+    s, parses, resumed, failed = session.open_session(lexer, "1"), session.SessionParser(parser), 0, 0
+    for step in range(200):
+        if step % 25 == 24 or len(s.text) > 4 * most:
+            # A whole sum again, after edits that mostly left none.
+            put = "+".join(str(rng.randint(1, 99)) for _ in range(most // 3))
+            edit = (0, len(s.text), put)
+        elif rng.random() < 0.8:
+            # Behind a digit a further summand leaves a sum a sum.
+            digits = [i + 1 for i, c in enumerate(s.text) if c.isdigit()] or [0]
+            edit = (rng.choice(digits), 0, rng.choice(["+12", "+3", "5"]))
+        else:
+            at = rng.randint(0, len(s.text))
+            edit = (at, rng.randint(0, min(3, len(s.text) - at)), rng.choice(["", "+", "7+", "@"]))
+        s = session.apply_edit(lexer, s, *edit)
+        parses.edited(s.metrics["first_token"])
+        if rng.random() < 0.3:
+            continue  # edits gather until the next parse
+        warm, cold = parses.parse(s.tokens, len(s.text)), Parser(grammar, prefixes=prefixes)(s.tokens, len(s.text))
+        assert shape(warm) == shape(cold), s.text
+        resumed += parses.resumed > 0
+        failed += not warm.success_full
+    assert resumed > 20 and failed > 5
+
+
+def test_an_edit_at_the_end_takes_up_near_it():
+    lexer, parses = session._Characters(SUMS.lexer_rules()), session.SessionParser(Parser(SUMS))
+    s = session.open_session(lexer, "+".join(["12"] * 400))
+    assert parses.parse(s.tokens, len(s.text)).steps == 799
+    s = session.apply_edit(lexer, s, len(s.text), 0, "+3")
+    parses.edited(s.metrics["first_token"])
+    assert parses.parse(s.tokens, len(s.text)).steps <= 4 and parses.resumed >= 797
+    # Parses that write much more than they keep begin anew.
+    begun = []
+    for _ in range(12):
+        s = session.apply_edit(lexer, s, 0, 1, "2")
+        parses.edited(s.metrics["first_token"])
+        parses.parse(s.tokens, len(s.text))
+        begun.append(any(r.written == 0 for r in parses.readings.values() if r is parses.readings[True]))
+    assert any(begun)
+
+
+def test_fold_with_a_grammar(spark):
+    rows = [("a", 0, 0, 0, "1+2"), ("a", 1, 3, 0, "+3"), ("a", 2, 1, 1, "++"), ("a", 3, 99, 0, "no"), ("a", 4, 1, 1, ""), ("b", 0, 0, 0, None)]
+    got = {(r["session_id"], r["version"]): (r["text"], r["success_full"], r["n_parses"]) for r in session.fold(spark.createDataFrame(rows, DDL), SUMS.lexer_rules(), SUMS).collect()}
+    assert got == {("a", 0): ("1+2", True, 1), ("a", 1): ("1+2+3", True, 1), ("a", 2): ("1++2+3", False, got["a", 2][2]), ("a", 3): ("1++2+3", False, got["a", 2][2]), ("a", 4): ("1+2+3", True, 1), ("b", 0): ("", False, 0)}
