@@ -66,11 +66,23 @@ def token_values(native: NativeLexer, text: Column) -> Column:
 
 
 _PLACES = ["seq", "value", "length", "start_pos", "line", "start_col", "end_col"]
+#: Tokens that are placed at a time; a document with more goes alone.
+PLACED = 1 << 16
+
+
+def _parts(batches):
+    """The batches' documents in parts of at most PLACED tokens, as a batch may hold thousands of long ones."""
+    for batch in batches:
+        ends, at = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PLACED, "right")))
+            yield batch.slice(at, to - at)
+            at = to
 
 
 def _place(batches):
     """Tokens with their places out of each document's values, in whole arrays."""
-    for batch in batches:
+    for batch in _parts(batches):
         lists = batch.column(1)
         value, size = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         doc = np.repeat(np.arange(len(size)), size)
