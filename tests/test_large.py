@@ -4,7 +4,6 @@ import pyarrow as pa
 
 from glyphflow.operators import lex as L
 
-
 MOST = 1 << 16
 
 
