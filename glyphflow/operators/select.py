@@ -33,13 +33,13 @@ def intersecting(rows: DataFrame, start: int | Column, end: int | Column, start_
     return rows.where((F.col(start_col) < hi) & (F.col(start_col) + F.col(length_col) > lo))
 
 
-def at_offset(rows: DataFrame, points: DataFrame, id_col: str = "doc_id", offset_col: str = "offset", start_col: str = "source_start", length_col: str = "source_length", innermost: bool = True) -> DataFrame:
+def at_offset(rows: DataFrame, points: DataFrame | None, id_col: str = "doc_id", offset_col: str = "offset", start_col: str = "source_start", length_col: str = "source_length", innermost: bool = True) -> DataFrame:
     """Spans that hold a point of their document (equi-join on the document, then the interval); the innermost only,
-    ties to the later start, then to the smaller remaining columns."""
-    joined = rows.join(points, id_col).where((F.col(start_col) <= F.col(offset_col)) & (F.col(offset_col) < F.col(start_col) + F.col(length_col)))
+    ties to the later start, then to the smaller remaining columns. Rows that carry their document's point need no points."""
+    joined = (rows if points is None else rows.join(points, id_col)).where((F.col(start_col) <= F.col(offset_col)) & (F.col(offset_col) < F.col(start_col) + F.col(length_col)))
     if not innermost:
         return joined
-    others = [c for c in rows.columns if c not in (id_col, start_col, length_col)]
+    others = [c for c in rows.columns if c not in (id_col, offset_col, start_col, length_col)]
     best = F.min(F.struct(F.col(length_col), (-F.col(start_col)).alias("__s"), *others)).alias("__b")
     out = joined.groupBy(id_col, offset_col).agg(best)
     return out.select(id_col, offset_col, (-F.col("__b.__s")).alias(start_col), F.col(f"__b.{length_col}").alias(length_col), *[F.col(f"__b.{c}").alias(c) for c in others])

@@ -1,9 +1,12 @@
-"""What must hold for tables that are much larger than a test's: bounded batches."""
+"""What must hold for tables that are much larger than a test's: bounded batches, and joins that don't go by a guessed size."""
 
 import pyarrow as pa
 
+import __spark_entry__
 from glyphflow.operators import lex as L
+from glyphflow.operators import select
 
+SF = "/root/testdata/sf0.001"
 MOST = 1 << 16
 
 
@@ -17,3 +20,14 @@ def test_tokens_are_placed_in_bounded_parts():
     alone = pa.Table.from_batches([p for i in range(len(docs)) for p in L._place([batch.slice(i, 1)])])
     assert got.equals(alone) and got.num_rows == sum(len(d or []) for d in docs)
     assert got.slice(got.num_rows - 2).to_pylist()[1] == {"id": len(docs) - 1, "seq": 0, "value": "z", "length": 1, "start_pos": 0, "line": 1, "start_col": 1, "end_col": 2}
+
+
+def plan(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_point_goes_along_with_its_document(spark):
+    shown = plan(__spark_entry__.queries()["token_at_offset"](spark, SF))
+    assert "Join" not in shown and "hashpartitioning" not in shown
+    rows = spark.createDataFrame([(1, 2, 0, 5, "1+2+3"), (1, 2, 2, 1, "2"), (None, 9, 0, 5, "1+2+3")], "doc_id int, offset int, source_start int, source_length int, node_text string")
+    assert [tuple(r) for r in select.at_offset(rows, None).collect()] == [(1, 2, 2, 1, "2")]
