@@ -31,3 +31,7 @@ def test_a_point_goes_along_with_its_document(spark):
     assert "Join" not in shown and "hashpartitioning" not in shown
     rows = spark.createDataFrame([(1, 2, 0, 5, "1+2+3"), (1, 2, 2, 1, "2"), (None, 9, 0, 5, "1+2+3")], "doc_id int, offset int, source_start int, source_length int, node_text string")
     assert [tuple(r) for r in select.at_offset(rows, None).collect()] == [(1, 2, 2, 1, "2")]
+
+
+def test_ranges_need_no_join(spark):
+    assert "Join" not in plan(__spark_entry__.queries()["select_range"](spark, SF))
