@@ -41,8 +41,11 @@ def type_histogram(nodes: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def hotspots(nodes: DataFrame, edges: DataFrame, k: int = HOTSPOTS, id_col: str = "doc_id") -> DataFrame:
-    """The k nodes of a document with the most children, ties to the earlier start, then the smaller id."""
-    rows = fan_out(edges, id_col).join(nodes.select(id_col, "node_id", "node_type", "source_start"), [id_col, "node_id"])
+    """The k nodes of a document with the most children, ties to the earlier start, then the smaller id.
+
+    Spark takes exploded nodes and edges for a fraction of what they are, so neither is left to be broadcast.
+    """
+    rows = fan_out(edges, id_col).join(nodes.select(id_col, "node_id", "node_type", "source_start").hint("merge"), [id_col, "node_id"])
     order = Window.partitionBy(id_col).orderBy(F.col("children").desc(), "source_start", "node_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(id_col, "rank", "node_id", "node_type", "source_start", "children")
 

@@ -33,5 +33,10 @@ def test_a_point_goes_along_with_its_document(spark):
     assert [tuple(r) for r in select.at_offset(rows, None).collect()] == [(1, 2, 2, 1, "2")]
 
 
+def test_hotspots_join_without_a_broadcast(spark):
+    rows = __spark_entry__.queries()["graph_hotspots"](spark, SF)
+    assert "SortMergeJoin" in plan(rows) and "Broadcast" not in plan(rows)
+
+
 def test_ranges_need_no_join(spark):
     assert "Join" not in plan(__spark_entry__.queries()["select_range"](spark, SF))
