@@ -33,6 +33,13 @@ def test_a_point_goes_along_with_its_document(spark):
     assert [tuple(r) for r in select.at_offset(rows, None).collect()] == [(1, 2, 2, 1, "2")]
 
 
+def test_node_texts_join_without_a_broadcast(spark):
+    assert "SortMergeJoin" in plan(__spark_entry__.queries()["select_regex"](spark, SF))
+    nodes = spark.createDataFrame([(1, 1, 2), (2, 0, 1), (3, 0, 1)], "doc_id int, source_start int, source_length int")
+    rows = select.node_text(nodes, spark.createDataFrame([(1, "aéb"), (2, "x")], "doc_id int, text string"))
+    assert "Broadcast" not in plan(rows) and sorted((r["doc_id"], r["node_text"]) for r in rows.collect()) == [(1, "é"), (2, "x")]
+
+
 def test_hotspots_join_without_a_broadcast(spark):
     rows = __spark_entry__.queries()["graph_hotspots"](spark, SF)
     assert "SortMergeJoin" in plan(rows) and "Broadcast" not in plan(rows)
