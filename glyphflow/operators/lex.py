@@ -66,44 +66,53 @@ def token_values(native: NativeLexer, text: Column) -> Column:
 
 
 _PLACES = ["seq", "value", "length", "start_pos", "line", "start_col", "end_col"]
-#: Tokens that are placed at a time; a document with more goes alone.
-PLACED = 1 << 16
+#: Tokens that are placed at a time, and those of a row on the way to Python.
+PLACED, CARRIED = 1 << 16, 64
 
 
-def _parts(batches):
-    """The batches' documents in parts of at most PLACED tokens, as a batch may hold thousands of long ones."""
+def _rows(batches):
+    """Ids, seq and value of tokens, at most PLACED at a time but for a longer list, out of rows of id, the seq of the
+    first (0 where that column isn't there) and the values."""
     for batch in batches:
-        ends, at = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        lists = batch.column(batch.num_columns - 1)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = batch.column(1).to_numpy() if batch.num_columns == 3 else np.zeros(len(size), np.int64)
+        ends, at = np.cumsum(size), 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PLACED, "right")))
-            yield batch.slice(at, to - at)
+            own = size[at:to]
+            row = np.repeat(np.arange(to - at), own)
+            seq = np.arange(len(row)) + (begin[at:to] - np.cumsum(own) + own)[row]
+            yield batch.select([0]).slice(at, to - at).take(pa.array(row)), seq, lists.slice(at, to - at).flatten()
             at = to
 
 
 def _place(batches):
-    """Tokens with their places out of each document's values, in whole arrays."""
-    for batch in _parts(batches):
-        lists = batch.column(1)
-        value, size = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        doc = np.repeat(np.arange(len(size)), size)
-        first = np.cumsum(size) - size
+    """Tokens with their places, in whole arrays. Rows come in a document's order; it may go on in the next batch."""
+    # Of the document that goes on: its bytes so far, the line and the byte at which that begins.
+    at, on, begun = 0, 1, 0
+    for ids, seq, value in _rows(batches):
+        if not len(seq):
+            continue
         length = pc.binary_length(value).to_numpy(zero_copy_only=False).astype(np.int64)
-        end = np.cumsum(length)
+        end = at + np.cumsum(length)
         start = end - length
-        base = np.r_[start, 0][np.minimum(first, len(start))][doc] if len(start) else start
+        first = np.maximum.accumulate(np.where(seq == 0, np.arange(len(seq)), -1))
+        base = np.where(first < 0, 0, start[first])
         breaks = pc.count_substring(value, "\n").to_numpy(zero_copy_only=False).astype(np.int64)
-        lines = np.cumsum(breaks) - breaks
+        lines = on + np.cumsum(breaks) - breaks
+        line = lines - np.where(first < 0, 0, lines[first] - 1)
         # The byte behind the last newline so far; a document begins anew.
         broken = np.flatnonzero(breaks)
         tail = pc.binary_length(pc.replace_substring_regex(value.take(pa.array(broken)), "(?s)^.*\n", "")).to_numpy(zero_copy_only=False).astype(np.int64)
         behind = np.zeros(len(end) + 1, np.int64)
+        behind[0] = begun
         behind[broken + 1] = end[broken] - tail
-        begin = np.maximum(np.maximum.accumulate(behind)[:-1], base)
-        column = start - begin + 1
-        own = lines[first[doc]] if len(lines) else lines
-        columns = [np.arange(len(doc)) - first[doc], length, start - base, lines - own + 1, column, column + length]
-        told = [pa.array(c.astype(np.int32)) for c in columns]
-        yield pa.record_batch([batch.column(0).take(pa.array(doc)), told[0], value, *told[1:]], [batch.schema.names[0], *_PLACES])
+        behind = np.maximum.accumulate(behind)
+        column = start - np.maximum(behind[:-1], base) + 1
+        at, on, begun = int(end[-1] - base[-1]), int(line[-1] + breaks[-1]), int(max(behind[-1], base[-1]) - base[-1])
+        told = [pa.array(c.astype(np.int32)) for c in (seq, length, start - base, line, column, column + length)]
+        yield pa.record_batch([ids.column(0), told[0], value, *told[1:]], [ids.schema.names[0], *_PLACES])
 
 
 def native_tokens(docs: DataFrame, native: NativeLexer, id_col: str, text_col: str, positions: bool = False) -> DataFrame:
@@ -117,7 +126,12 @@ def native_tokens(docs: DataFrame, native: NativeLexer, id_col: str, text_col: s
     values = docs.select(F.col(id_col), token_values(native, F.col(text_col)).alias("__v"))
     if positions:
         kinds = StructType([values.schema[0], *StructType.fromDDL(", ".join(f"{c} {'string' if c == 'value' else 'int'}" for c in _PLACES)).fields])
-        rows = values.mapInArrow(_place, kinds)
+        # A document's values go to Python a few a row: an Arrow batch has thousands of rows, whatever lies in them.
+        v = F.col("__v")
+        runs = F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(CARRIED)), lambda at: F.struct(at.alias("at"), F.slice(v, at + 1, F.lit(CARRIED)).alias("v"))))
+        # An outer explode, as Spark would lex each text once more to leave out the empty ones.
+        carried = values.select(id_col, F.explode_outer(runs).alias("__r")).where("__r IS NOT NULL")
+        rows = carried.select(id_col, "__r.at", "__r.v").mapInArrow(_place, kinds)
     else:
         rows = values.select(id_col, F.posexplode("__v").alias("seq", "value"))
     typed = rows.select(id_col, "seq", _type_of(native, F.col("value")).alias("type"), "value", *(_PLACES[2:] if positions else []))

@@ -5,6 +5,7 @@ import pyarrow as pa
 import __spark_entry__
 from glyphflow.operators import lex as L
 from glyphflow.operators import select
+from glyphflow.plans.queries_lex import WORDS, native
 
 SF = "/root/testdata/sf0.001"
 MOST = 1 << 16
@@ -47,3 +48,24 @@ def test_hotspots_join_without_a_broadcast(spark):
 
 def test_ranges_need_no_join(spark):
     assert "Join" not in plan(__spark_entry__.queries()["select_range"](spark, SF))
+
+
+def test_a_document_goes_on_in_the_next_batch():
+    docs = [["ab", "\n", "é"] * k for k in range(70)] + [[], ["x\ny\nz", " ", "w"] * 90, ["q"]]
+    kind = pa.list_(pa.string())
+    whole = pa.Table.from_batches(L._place([pa.record_batch([pa.array(range(len(docs)), pa.int64()), pa.array(docs, kind)], ["id", "v"])]))
+    for carried in (1, 4, L.CARRIED):
+        runs = [(i, at, d[at : at + carried]) for i, d in enumerate(docs) for at in range(0, len(d), carried)]
+        for rows in (1, 3, len(runs)):
+            batches = [pa.record_batch([pa.array(x, k) for x, k in zip(zip(*runs[n : n + rows]), (pa.int64(), pa.int32(), kind))], ["id", "at", "v"]) for n in range(0, len(runs), rows)]
+            assert pa.Table.from_batches(L._place(batches)).to_pylist() == whole.to_pylist()
+
+
+def test_rows_to_python_hold_few_tokens(spark):
+    docs = spark.createDataFrame([(1, "a1 " * 1000 + "\nb"), (2, ""), (3, None), (4, "c")], "doc_id int, text string")
+    for query in ("rename_edits", "tokens_in_range"):
+        shown = plan(__spark_entry__.queries()[query](spark, SF))
+        assert "Generate explode" in shown[shown.index("MapInArrow") :] and shown.count("regexp_extract_all") == 1
+    got = sorted(tuple(r) for r in L.native_tokens(docs, native(WORDS), "doc_id", "text", positions=True).select("doc_id", "seq", "value", "start_pos", "line", "start_col").collect())
+    # The last space and the newline are one token.
+    assert len(got) == 3002 and got[-3:] == [(1, 2999, " \n", 2999, 1, 3000), (1, 3000, "b", 3001, 2, 1), (4, 0, "c", 0, 1, 1)]
