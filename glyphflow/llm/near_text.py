@@ -6,8 +6,11 @@ similarity of each proposed pair is computed from the whole sets.
 
 Texts that meet in a bucket of a band are all proposed with each other where they are few. A crowded bucket goes by
 rounds: each text is proposed with the bucket's first and with the ones before it, what is found like another text leaves
-the buckets, and what stays there meets again, each time with twice as many, until the few are all with each other.
+the buckets, and what stays there meets again, each time with four times as many, until all are with each other.
 Buckets are read as streams, so no task holds one whole.
+
+Each text goes to its buckets with a bitmap of its set. An element that sets a bit which the other's bitmap lacks isn't in
+the other, so two bitmaps bound what their sets share: pairs that can't be similar are left out where they meet.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ PART, WHOLE = 4, 5
 FEW = 8
 #: Texts before it with which each other text of a bucket is proposed in the first round.
 NEXT = 2
+#: Bits of a set's bitmap.
+BITS = 1024
 #: Words of which a task remembers that it has told their keys.
 _TOLD = 1 << 20
 _CHUNK = 1 << 11
@@ -128,27 +133,77 @@ def _batch(a: np.ndarray, b: np.ndarray, names: list[str]) -> pa.RecordBatch:
 _NONE = (np.zeros(0, np.int64),) * 3
 
 
+def bitmap(hashes: np.ndarray) -> np.ndarray:
+    """Bits by the hashes' remainders, as 64-bit words."""
+    bits = np.zeros(BITS, bool)
+    bits[(hashes.view(np.uint64) % np.uint64(BITS)).astype(np.int64)] = True
+    return np.packbits(bits).view(np.uint64)
+
+
+def may_be_alike(n_a: np.ndarray, a: np.ndarray, n_b: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes and bitmaps can be similar enough: no set shares what sets a bit that the other lacks."""
+    shared = np.minimum(n_a - np.bitwise_count(a & ~b).sum(1, dtype=np.int64), n_b - np.bitwise_count(b & ~a).sum(1, dtype=np.int64))
+    return shared * WHOLE >= (n_a + n_b - shared) * PART
+
+
+def _bitmaps(batches):
+    for part in slices(batches):
+        sets = [np.array(x, np.int64) for x in part.column(1).to_pylist()]
+        yield pa.record_batch([part.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], ["node", "n", "bits"])
+
+
+def _known(batches, told: dict):
+    """The batches as they come; told gets the size and bitmap of their nodes, where they have them, while they're needed."""
+    for batch in batches:
+        if batch.num_columns > 2 and batch.num_rows:
+            node, n = (batch.column(c).to_numpy() for c in ("node", "n"))
+            node, at = np.unique(node, return_index=True)
+            told |= {"node": node, "n": n[at], "bits": np.frombuffer(b"".join(batch.column("bits").take(pa.array(at)).to_pylist()), np.uint64).reshape(len(at), -1)}
+        yield batch
+
+
 def _pairs(near: int):
-    """Pairs of each bucket: every text with the first and the near ones before it, the FEW first with each other."""
+    """Pairs of each bucket: every text with the first and the near ones before it, the FEW first with each other.
+
+    Where rows have sizes and bitmaps (n, bits) beside key and node, less those that can't be similar enough.
+    """
 
     def run(batches):
         held, head, back = _NONE, 0, max(FEW - 1, near)
-        for rows in _placed(batches):
+        new: dict = {}
+        own, first_own = None, None
+        for rows in _placed(_known(batches, new)):
             known = len(held[0])
             key, node, place = (np.concatenate(x) for x in zip(held, rows, strict=True))
+            if new:
+                at = np.searchsorted(new["node"], rows[1])
+                fresh_own = new["n"][at], new["bits"][at]
+                own = fresh_own if own is None else tuple(np.concatenate(x) for x in zip(own, fresh_own, strict=True))
             at = np.arange(len(key))
             opened = np.maximum.accumulate(np.where(place == 0, at, -1))
-            first = np.where(opened < 0, head, node[opened])
             fresh = at >= known
-            met = fresh & (place > 0)
-            pairs = [np.stack([first[met], node[met]], 1)]
+            # The first row of the bucket that goes on stands before the others.
+            node_, own_ = np.r_[head, node], own and tuple(np.concatenate([x[:1] if first_own is None else f, x]) for f, x in zip(first_own or own, own, strict=True))
+            pairs = [np.zeros((0, 2), np.int64)]
+
+            def meet(i, j):
+                """Rows by their places in what has the head before it."""
+                if own_:
+                    for_good = may_be_alike(own_[0][i], own_[1][i], own_[0][j], own_[1][j])
+                    i, j = i[for_good], j[for_good]
+                pairs.append(np.stack([node_[i], node_[j]], 1))
+
+            met = np.flatnonzero(fresh & (place > 0))
+            meet(opened[met] + 1, met + 1)
             for shift in range(1, min(back, len(key) - 1) + 1):
                 j = shift + np.flatnonzero((key[shift:] == key[:-shift]) & fresh[shift:] & ((place[shift:] < FEW) | (shift <= near)))
-                pairs.append(np.stack([node[j - shift], node[j]], 1))
+                meet(j - shift + 1, j + 1)
             found = np.unique(np.concatenate(pairs), axis=0)
             yield _batch(found[:, 0], found[:, 1], ["a", "b"])
+            last = opened[-1] + 1
+            head, first_own = node_[last], own_ and tuple(x[last : last + 1] for x in own_)
             tail = max(int(np.searchsorted(key, key[-1])), len(key) - back)
-            held, head = (key[tail:], node[tail:], place[tail:]), first[-1]
+            held, own = (key[tail:], node[tail:], place[tail:]), own and tuple(x[tail:] for x in own)
 
     return run
 
@@ -215,9 +270,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Only texts that meet another go on.
     met = settled(keys.mapInArrow(_crowded(1), "key long, node long"))
     sets = _sets_of(rows, known, met)
+    bitmaps = settled(sets.select("node", "set").mapInArrow(_bitmaps, "node long, n long, bits binary"))
     links = None
     while True:
-        pairs = settled(met.mapInArrow(_pairs(near), "a long, b long").distinct())
+        beside = met.join(bitmaps, "node").select("key", "node", "n", "bits").repartition("key").sortWithinPartitions("key", "node")
+        pairs = settled(beside.mapInArrow(_pairs(near), "a long, b long").distinct())
         found = settled(_alike(pairs, sets))
         links = found if links is None else links.unionByName(found)
         met = settled(met.mapInArrow(_crowded(max(FEW, near + 2)), "key long, node long"))
@@ -226,7 +283,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         roots = settled(components(found))
         heads = roots.join(ranked, "node").groupBy("root").agg(F.min("rank")["node"].alias("node"))
         gone = roots.select("node").join(heads, "node", "left_anti")
-        near *= 2
+        near *= 4
         met = settled(met.join(gone, "node", "left_anti").repartition("key").sortWithinPartitions("key", "node").select("key", "node"))
     roots = settled(components(links))
     joined = known.join(roots, "node", "left")

@@ -88,3 +88,35 @@ def test_buckets_are_streams(rows):
         assert got == {(int(x[i]), int(x[j])) for x, i, j in met if i == 0 or j < near_text.FEW or j - i <= near}
         assert all((x[i], x[j]) in got for x, i, j in met if len(x) <= max(near_text.FEW, near + 2))
     assert not list(near_text._pairs(2)([])) and not list(near_text._crowded(1)([]))
+
+
+def test_bitmaps_leave_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    out = 0
+    for n in (1, 5, 40, 150, 800, 5000):
+        for part in (0.7, 0.8, 0.85, 0.9, 0.95, 1.0):
+            a = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+            b = np.unique(np.r_[a[: int(part * len(a))], rng.integers(0, 1 << 64, rng.integers(0, 1 + n // 5), np.uint64)])
+            shared = len(np.intersect1d(a, b))
+            alike = 5 * shared >= 4 * (len(a) + len(b) - shared)
+            may = near_text.may_be_alike(np.array([len(a)]), near_text.bitmap(a)[None], np.array([len(b)]), near_text.bitmap(b)[None])[0]
+            assert may or not alike
+            out += not may
+    assert out > 5
+
+
+@pytest.mark.parametrize("rows", [1, 7, 50, 1000])
+def test_pairs_that_cannot_be_alike_are_not_made(rows):
+    rng = np.random.default_rng(rows)
+    # A crowded bucket of texts of which each shares two thirds with each other, and two near copies among them.
+    common = rng.integers(0, 1 << 64, 100, np.uint64)
+    sets = {int(n): np.unique(np.r_[common, rng.integers(0, 1 << 64, 25, np.uint64)]) for n in rng.choice(10_000, 300, replace=False)}
+    x, y = sorted(sets)[100], sorted(sets)[200]
+    sets[y] = sets[x][:-3]
+    told = [(k, n, len(sets[n]), near_text.bitmap(sets[n]).tobytes()) for k in (4, 9) for n in sorted(sets)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*told[i : i + rows]), kinds)], ["key", "node", "n", "bits"]) for i in range(0, len(told), rows)]
+    got = {tuple(r.values()) for b in near_text._pairs(512)(batches) for r in b.to_pylist()}
+    every = {(a, b) for a in sets for b in sets if a < b}
+    alike = {(a, b) for a, b in every if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
+    assert (x, y) in alike and alike <= got <= every and len(got) < len(every) / 5
