@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -146,13 +149,22 @@ def native_status(docs: DataFrame, native: NativeLexer, id_col: str, text_col: s
     return sizes.select(id_col, consumed.alias("consumed"), whole.alias("completed"), F.when(whole, -1).otherwise(consumed).alias("unmatched"))
 
 
-def _token_rows(found, where: Positions, named: dict) -> list[tuple]:
-    rows = []
+def _token_rows(found, where: Positions) -> Iterator[tuple]:
     for seq, t in enumerate(found.tokens):
         line, column = where.line_column(t.start)
         parts = [{"type": a, "value": b} for a, b in split_escapes(t.value)]
-        rows.append((t.step, t.path, seq, t.type, t.value, t.start, t.end - t.start, line, column, column + t.end - t.start, t.context, bool(parts), parts))
-    return rows
+        yield t.step, t.path, seq, t.type, t.value, t.start, t.end - t.start, line, column, column + t.end - t.start, t.context, bool(parts), parts
+
+
+#: Rows of the general lexer that are gathered at a time, and documents that are read at a time.
+GATHERED, READ = 1 << 12, 64
+
+
+def _gathered(found: Iterator[tuple]) -> Iterator[tuple]:
+    """Ids and columns of (id, row), GATHERED at a time; a document's rows may go on in the next part."""
+    while own := list(islice(found, GATHERED)):
+        ids, rows = zip(*own, strict=True)
+        yield ids, zip(*rows, strict=True)
 
 
 def _run(docs: DataFrame, rules, id_col: str, text_col: str, mode: str, budget: int, contexts, prioritizer, schema: str, rows_of) -> DataFrame:
@@ -161,19 +173,16 @@ def _run(docs: DataFrame, rules, id_col: str, text_col: str, mode: str, budget:
 
     def run(batches):
         lexer = Lexer(rules, budget, contexts, prioritizer)
+        kinds = [f.type for f in arrow]
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                ids, rows = [], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    text = text or ""
-                    found = lexer.greedy(text) if mode == "greedy" else lexer.explore(text)
-                    own = rows_of(found, text)
-                    rows += own
-                    ids += [i] * len(own)
-                columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-                kinds = [f.type for f in arrow]
-                yield pa.record_batch([part.column(0).take(pa.array(ids, pa.int32())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_col, *names])
+            for at in range(0, batch.num_rows, READ):
+                part = batch.slice(at, READ)
+                found = ((i, row) for i, text in enumerate(part.column(1).to_pylist()) for row in rows_of(*lexed(lexer, text or "")))
+                for ids, columns in _gathered(found):
+                    yield pa.record_batch([part.column(0).take(pa.array(ids, pa.int32())), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], [id_col, *names])
+
+    def lexed(lexer, text):
+        return lexer.greedy(text) if mode == "greedy" else lexer.explore(text), text
 
     pair = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -196,7 +205,7 @@ def _fields(schema: str) -> list[str]:
 
 def general_tokens(docs: DataFrame, rules: Grammar | list[CompiledRule], id_col: str, text_col: str, mode: str = "exploratory", budget: int = PATH_BUDGET, contexts: tuple[str, ...] = ("default",), prioritizer=None) -> DataFrame:
     """id and TOKEN_SCHEMA: the tokens of the general lexer, a bag over paths in step order when exploratory."""
-    return _run(docs, rules, id_col, text_col, mode, budget, contexts, prioritizer, TOKEN_SCHEMA, lambda found, text: _token_rows(found, Positions(text), {}))
+    return _run(docs, rules, id_col, text_col, mode, budget, contexts, prioritizer, TOKEN_SCHEMA, lambda found, text: _token_rows(found, Positions(text)))
 
 
 def lex_status(docs: DataFrame, rules: Grammar | list[CompiledRule], id_col: str, text_col: str, mode: str = "exploratory", budget: int = PATH_BUDGET, contexts: tuple[str, ...] = ("default",), prioritizer=None) -> DataFrame:

@@ -69,3 +69,12 @@ def test_rows_to_python_hold_few_tokens(spark):
     got = sorted(tuple(r) for r in L.native_tokens(docs, native(WORDS), "doc_id", "text", positions=True).select("doc_id", "seq", "value", "start_pos", "line", "start_col").collect())
     # The last space and the newline are one token.
     assert len(got) == 3002 and got[-3:] == [(1, 2999, " \n", 2999, 1, 3000), (1, 3000, "b", 3001, 2, 1), (4, 0, "c", 0, 1, 1)]
+
+
+def test_the_general_lexer_gives_out_rows_in_bounded_parts():
+    taken = []
+    rows = ((0, (taken.append(k), k)) for k in range(3 * L.GATHERED + 1))
+    parts = L._gathered(rows)
+    ids, columns = next(parts)
+    assert len(ids) == len(taken) == L.GATHERED
+    assert [len(i) for i, _ in parts] == [L.GATHERED] * 2 + [1]
