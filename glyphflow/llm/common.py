@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a batch that are turned into Python objects at a time.
@@ -34,6 +34,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """The settled rows and their number, which is taken as they are written and not by a job of its own."""
+    seen = Observation()
+    return settled(df.observe(seen, F.count(F.lit(1)).alias("n"))), seen.get["n"]
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Deletes a table that the caller wrote, on whatever file system it lies."""
     path = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .choose import BROADCAST_ROWS, one_of_each
-from .common import name_of, settled, slices
+from .common import counted, name_of, settled, slices
 from .components import components
 
 SHINGLE, SEED = 5, 42
@@ -232,24 +232,24 @@ def _sets(batches):
         yield pa.record_batch([part.column(0), nodes, pa.array([shingles(t).view(np.int64) for t in texts], pa.list_(pa.int64()))], ["id", "node", "set"])
 
 
-def _sets_of(rows: DataFrame, known: DataFrame, met: DataFrame) -> DataFrame:
-    """node, set, n (its size) of every text that meets another, out of one of its rows."""
-    chosen = settled(known.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("of")))
+def _near(frame: DataFrame, rows: int) -> DataFrame:
+    """A frame of ids and marks for a join: told to all tasks where its rows are few."""
+    return F.broadcast(frame) if rows <= BROADCAST_ROWS else frame
+
+
+def _sets_of(rows: DataFrame, chosen: DataFrame, n: int) -> DataFrame:
+    """node, set, n (its size) of the n chosen texts, each out of one of its rows."""
     # Few ids go to the texts; the texts of many go to them.
-    near = F.broadcast if chosen.count() <= BROADCAST_ROWS else lambda frame: frame
-    wanted = rows.join(near(chosen.select("of").distinct()), F.col("id").eqNullSafe(F.col("of")), "left_semi")
+    wanted = rows.join(_near(chosen.select("of").distinct(), n), F.col("id").eqNullSafe(F.col("of")), "left_semi")
     sets = wanted.mapInArrow(_sets, "id long, node long, set array<long>")
-    own = sets.join(near(chosen.withColumnRenamed("node", "named")), F.col("id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("named")), "left_semi")
+    own = sets.join(_near(chosen.withColumnRenamed("node", "named"), n), F.col("id").eqNullSafe(F.col("of")) & (F.col("node") == F.col("named")), "left_semi")
     return settled(own.select("node", "set", F.size("set").alias("n")).dropDuplicates(["node"]))
 
 
-def _alike(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar enough."""
+def _alike(pairs: DataFrame, n: int, sets: DataFrame) -> DataFrame:
+    """Those of n pairs whose sets are similar enough."""
     left, right = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in ("a", "b"))
-    # Of two sets so alike, the smaller has at least that part of the larger; only such pairs carry their sets on.
-    n_a, n_b = (sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}")) for x in ("a", "b"))
-    near = pairs.join(n_a, "a").join(n_b, "b").where((F.col("n_a") * WHOLE >= F.col("n_b") * PART) & (F.col("n_b") * WHOLE >= F.col("n_a") * PART)).select("a", "b")
-    both = near.join(left, "a").join(right, "b")
+    both = _near(pairs, n).join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("set_a", "set_b"))
     return both.where(shared * WHOLE >= (F.size("set_a") + F.size("set_b") - shared) * PART).select("a", "b")
 
@@ -264,29 +264,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = docs.select(F.col(name_of(id_col)).cast("long").alias("id"), F.col(name_of(text_col)).cast("string").alias("text"))
     marked = settled(rows.mapInArrow(_marked, "id long, node long, keys array<long>").where("node IS NOT NULL"))
     known = marked.select("id", "node")
-    rank = F.struct(F.col("id").isNull().alias("none"), "id", "node")
-    ranked = known.groupBy("node").agg(F.min(rank).alias("rank"))
     keys = marked.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key", "node")
     # Only texts that meet another go on.
     met = settled(keys.mapInArrow(_crowded(1), "key long, node long"))
-    sets = _sets_of(rows, known, met)
+    # Each with its smallest id, null where it has none.
+    chosen, n = counted(known.join(met.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("id").alias("of")))
+    sets = _sets_of(rows, chosen, n)
     bitmaps = settled(sets.select("node", "set").mapInArrow(_bitmaps, "node long, n long, bits binary"))
-    links = None
+    rank = F.struct(F.col("of").isNull().alias("none"), "of", "node")
+    links, linked = None, 0
     while True:
         beside = met.join(bitmaps, "node").select("key", "node", "n", "bits").repartition("key").sortWithinPartitions("key", "node")
-        pairs = settled(beside.mapInArrow(_pairs(near), "a long, b long").distinct())
-        found = settled(_alike(pairs, sets))
-        links = found if links is None else links.unionByName(found)
-        met = settled(met.mapInArrow(_crowded(max(FEW, near + 2)), "key long, node long"))
-        if met.isEmpty():
+        pairs, n = counted(beside.mapInArrow(_pairs(near), "a long, b long").distinct())
+        found, n = counted(_alike(pairs, n, sets))
+        links, linked = found if links is None else links.unionByName(found), linked + n
+        met, left = counted(met.mapInArrow(_crowded(max(FEW, near + 2)), "key long, node long"))
+        if not left:
             break
-        roots = settled(components(found))
-        heads = roots.join(ranked, "node").groupBy("root").agg(F.min("rank")["node"].alias("node"))
-        gone = roots.select("node").join(heads, "node", "left_anti")
+        roots, n = counted(components(found, n))
+        heads = _near(roots, n).join(chosen, "node").groupBy("root").agg(F.min(rank)["node"].alias("node"))
+        gone = roots.select("node").join(_near(heads, n), "node", "left_anti")
         near *= 4
-        met = settled(met.join(gone, "node", "left_anti").repartition("key").sortWithinPartitions("key", "node").select("key", "node"))
-    roots = settled(components(links))
-    joined = known.join(roots, "node", "left")
+        met = settled(met.join(_near(gone, n), "node", "left_anti").repartition("key").sortWithinPartitions("key", "node").select("key", "node"))
+    roots, n = counted(components(links, linked))
+    joined = known.join(_near(roots, n), "node", "left")
     return joined.select(F.col("id").alias("doc_id"), F.col("node").alias("mark"), F.coalesce("root", "node").alias("root"))
 
 

@@ -179,3 +179,31 @@ def test_passages_of_51_words_in_running_text_hold_a_run():
                 parts = span_dedup.sentences(t)
                 keys.append({tuple(p[2] for p in parts[a : b + 1]) for a, b in span_dedup.runs(parts, span_dedup.MIN_SENTENCES, span_dedup.MIN_WORDS)})
             assert keys[0] & keys[1], n
+
+
+def tasks_of(spark, name, what):
+    """What the function returns, and the tasks of its jobs."""
+    context = spark.sparkContext
+    context.setJobGroup(name, name)
+    try:
+        out = what()
+    finally:
+        context._jsc.clearJobGroup()
+    told = context.statusTracker()
+    stages = {s for j in told.getJobIdsForGroup(name) for s in told.getJobInfo(j).stageIds}
+    return out, sum(i.numCompletedTasks for s in stages if (i := told.getStageInfo(s)))
+
+
+def test_components_of_few_edges_are_found_in_one_task(spark, monkeypatch):
+    import glyphflow.llm.components as module
+
+    rng = random.Random(7)
+    edges = [(rng.randint(-400, 400), rng.randint(-400, 400)) for _ in range(350)] + [(5000 - i, 4999 - i) for i in range(60)] + [(1, None), (None, None), (7, 7)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(16).checkpoint()
+    few, tasks = tasks_of(spark, "few-edges", lambda: sorted(map(tuple, components(frame).collect())))
+    assert tasks <= 20
+    monkeypatch.setattr(module, "AT_ONCE", 0)
+    assert sorted(map(tuple, components(frame).collect())) == few
+    whole = [e for e in edges if None not in e]
+    want = roots({x for e in whole for x in e}, whole)
+    assert dict(few) == {n: r for n, r in want.items() if any(n in e and e[0] != e[1] for e in whole)} and len(few) == len(dict(few))
