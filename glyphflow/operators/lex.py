@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial, reduce
 from itertools import islice
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -90,8 +92,11 @@ def _rows(batches):
             at = to
 
 
-def _place(batches):
-    """Tokens with their places, in whole arrays. Rows come in a document's order; it may go on in the next batch."""
+def _place(batches, only: list[str] | None = None):
+    """Tokens with their places, in whole arrays. Rows come in a document's order; it may go on in the next batch.
+
+    only: the values of the tokens that are given out, None for all.
+    """
     # Of the document that goes on: its bytes so far, the line and the byte at which that begins.
     at, on, begun = 0, 1, 0
     for ids, seq, value in _rows(batches):
@@ -114,16 +119,26 @@ def _place(batches):
         behind = np.maximum.accumulate(behind)
         column = start - np.maximum(behind[:-1], base) + 1
         at, on, begun = int(end[-1] - base[-1]), int(line[-1] + breaks[-1]), int(max(behind[-1], base[-1]) - base[-1])
-        told = [pa.array(c.astype(np.int32)) for c in (seq, length, start - base, line, column, column + length)]
-        yield pa.record_batch([ids.column(0), told[0], value, *told[1:]], [ids.schema.names[0], *_PLACES])
-
-
-def native_tokens(docs: DataFrame, native: NativeLexer, id_col: str, text_col: str, positions: bool = False) -> DataFrame:
+        named, places = ids.column(0), (seq, length, start - base, line, column, column + length)
+        if only is not None:
+            wanted = np.flatnonzero(pc.is_in(value, pa.array(only, value.type)).to_numpy(zero_copy_only=False))
+            if not len(wanted):
+                continue
+            named, value = (x.take(pa.array(wanted)) for x in (named, value))
+            places = tuple(c[wanted] for c in places)
+        told = [pa.array(c.astype(np.int32)) for c in places]
+        yield pa.record_batch([named, told[0], value, *told[1:]], [ids.schema.names[0], *_PLACES])
+
+
+def native_tokens(docs: DataFrame, native: NativeLexer, id_col: str, text_col: str, positions: bool = False, only: list[str] | None = None) -> DataFrame:
     """id, seq (in the document, skippable ones counted), type, value, and with positions start_pos, length, line,
-    start_col and end_col; skippable tokens are left out.
+    start_col and end_col; skippable tokens are left out, and where only is given those of other values.
 
     Nothing is shuffled. Positions are sums along a document's own tokens, taken in Arrow batches.
     """
+    if only and all(map(str.isascii, only)):
+        # A text without any of them has no such token. (Others could come of bytes that aren't UTF-8.)
+        docs = docs.where(reduce(or_, [F.contains(F.col(text_col), F.lit(x)) for x in only]))
     skip = [n for _, n, s in (*native.literals, *native.classes) if s]
     keep = ~F.col("type").isin(skip) if skip else F.lit(True)
     values = docs.select(F.col(id_col), token_values(native, F.col(text_col)).alias("__v"))
@@ -134,9 +149,10 @@ def native_tokens(docs: DataFrame, native: NativeLexer, id_col: str, text_col: s
         runs = F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(0), F.size(v) - 1, F.lit(CARRIED)), lambda at: F.struct(at.alias("at"), F.slice(v, at + 1, F.lit(CARRIED)).alias("v"))))
         # An outer explode, as Spark would lex each text once more to leave out the empty ones.
         carried = values.select(id_col, F.explode_outer(runs).alias("__r")).where("__r IS NOT NULL")
-        rows = carried.select(id_col, "__r.at", "__r.v").mapInArrow(_place, kinds)
+        rows = carried.select(id_col, "__r.at", "__r.v").mapInArrow(partial(_place, only=only), kinds)
     else:
         rows = values.select(id_col, F.posexplode("__v").alias("seq", "value"))
+        rows = rows if only is None else rows.where(F.col("value").isin(only))
     typed = rows.select(id_col, "seq", _type_of(native, F.col("value")).alias("type"), "value", *(_PLACES[2:] if positions else []))
     return typed.where(keep)
 
@@ -223,15 +239,16 @@ def lex_paths(docs: DataFrame, rules, id_col: str, text_col: str, budget: int =
     return _run(docs, rules, id_col, text_col, "exploratory", budget, ("default",), None, "path_id int, position int, n_tokens int, completed boolean, types array<string>", lambda found, text: [(a, b, c, d, list(e)) for a, b, c, d, e in found.paths])
 
 
-def lex(docs: DataFrame, rules: Grammar | list[CompiledRule], id_col: str = "doc_id", text_col: str = "text", mode: str = "greedy", positions: bool = False, budget: int = PATH_BUDGET) -> DataFrame:
+def lex(docs: DataFrame, rules: Grammar | list[CompiledRule], id_col: str = "doc_id", text_col: str = "text", mode: str = "greedy", positions: bool = False, budget: int = PATH_BUDGET, only: list[str] | None = None) -> DataFrame:
     """id, seq, type, value (and positions): in the JVM where the rules allow it, else by the general lexer.
 
-    Null text counts as empty and has no token.
+    Null text counts as empty and has no token. only: the values of the tokens that are wanted, None for all.
     """
     native = native_lexer(_rules(rules)) if mode == "greedy" else None
     if native is not None:
-        return native_tokens(docs, native, id_col, text_col, positions)
+        return native_tokens(docs, native, id_col, text_col, positions, only)
     found = general_tokens(docs, rules, id_col, text_col, mode, budget)
+    found = found if only is None else found.where(F.col("value").isin(only))
     own = [id_col, "seq", "type", "value"]
     return found.select(*own, *(["start_pos", "length", "line", "start_col", "end_col"] if positions else []))
 

@@ -236,7 +236,8 @@ p AS (SELECT *, coalesce(sum(strlen(value)) OVER (PARTITION BY doc_id ORDER BY i
 SELECT doc_id, CAST(s AS INTEGER) AS start_pos, 'of' AS old_text, 'from' AS new_text FROM p WHERE value = 'of'
 """)
 def rename_edits(spark, sf):
-    rows = L.lex(texts(spark, sf, "documents"), KEYWORDS, positions=True).withColumn("symbol", F.col("value")).withColumn("scope", F.lit(""))
+    # Of the tokens only those that are renamed come back from Python.
+    rows = L.lex(texts(spark, sf, "documents"), KEYWORDS, positions=True, only=["of"]).withColumn("symbol", F.col("value")).withColumn("scope", F.lit(""))
     return symbols.rename_edits(rows, "of", "from").select("doc_id", "start_pos", "old_text", "new_text")
 
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import __spark_entry__
 from glyphflow.operators import lex as L
 from glyphflow.operators import select
-from glyphflow.plans.queries_lex import WORDS, native
+from glyphflow.plans.queries_lex import KEYWORDS, WORDS, native
 
 SF = "/root/testdata/sf0.001"
 MOST = 1 << 16
@@ -71,6 +71,19 @@ def test_rows_to_python_hold_few_tokens(spark):
     assert len(got) == 3002 and got[-3:] == [(1, 2999, " \n", 2999, 1, 3000), (1, 3000, "b", 3001, 2, 1), (4, 0, "c", 0, 1, 1)]
 
 
+def test_only_the_wanted_tokens_come_back(spark):
+    docs = spark.createDataFrame([(1, "of\né of, offof of"), (2, "off"), (3, None), (4, ""), (5, "é " * 900 + "of\n" + "a " * 900 + "of")], "doc_id int, text string")
+    own = ["doc_id", "seq", "type", "value"]
+    for only in (["of"], ["of", ","], ["é"], ["none"], []):
+        for positions, columns in ((True, [*own, "start_pos", "length", "line", "start_col", "end_col"]), (False, own)):
+            for mode in ("greedy", "exploratory"):
+                whole, part = (sorted(map(tuple, L.lex(docs, KEYWORDS, mode=mode, positions=positions, only=x).select(columns).collect())) for x in (None, only))
+                assert part == [t for t in whole if t[3] in only]
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([["of", "\n", "x"], ["of"] * 3, ["y"]])], ["id", "v"])
+    assert [t["start_pos"] for b in L._place([batch, batch], ["of"]) for t in b.to_pylist()] == [0, 0, 2, 4] * 2
+    assert "Contains(text" in plan(__spark_entry__.queries()["rename_edits"](spark, SF)).replace("#", "")
+
+
 def test_the_general_lexer_gives_out_rows_in_bounded_parts():
     taken = []
     rows = ((0, (taken.append(k), k)) for k in range(3 * L.GATHERED + 1))
