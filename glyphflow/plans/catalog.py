@@ -33,8 +33,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table for work that is heavy by row: dealt out to all cores where it came in fewer parts than these."""
-    rows = table(spark, sf_dir, name)
+    """A table for work that is heavy by row: dealt out to all cores where it came in fewer parts than these.
+
+    Read without vectored IO, which holds a row group's whole texts a second time outside the heap.
+    """
+    rows = spark.read.option("parquet.hadoop.vectored.io.enabled", "false").parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 

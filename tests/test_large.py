@@ -84,6 +84,13 @@ def test_only_the_wanted_tokens_come_back(spark):
     assert "Contains(text" in plan(__spark_entry__.queries()["rename_edits"](spark, SF)).replace("#", "")
 
 
+def test_row_groups_of_texts_are_not_held_outside_the_heap_too(spark):
+    from glyphflow.plans.catalog import texts
+
+    read = texts(spark, SF, "documents")._jdf.queryExecution().optimizedPlan().collectLeaves().head().relation().options()
+    assert read.get("parquet.hadoop.vectored.io.enabled").get() == "false"
+
+
 def test_the_general_lexer_gives_out_rows_in_bounded_parts():
     taken = []
     rows = ((0, (taken.append(k), k)) for k in range(3 * L.GATHERED + 1))
